@@ -5,13 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dsforge.llm import contamination, dedupe, reading_level, tokenizer
+from dsforge.llm import contamination, dedupe, entity_map, reading_level, tokenizer
 from dsforge.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = table(spark, sf_dir, "variable_spec").where("name = 'name'")
+    return entity_map.mapped(table(spark, sf_dir, "extracted"), lists)
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unmatched names by collection and spelling, with their number of rows."""
+    extracted = table(spark, sf_dir, "extracted")
+    lists = table(spark, sf_dir, "variable_spec").where("name = 'name'")
+    unmatched = entity_map.map_names(extracted, lists).where("canonical = ''")
+    return unmatched.join(extracted.select("ex_no", "collection", "name"), "ex_no").groupBy("collection", "name").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.copies(table(spark, sf_dir, "dataset")).select("keep_no", "copy_no")
 
@@ -33,7 +47,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p5_found, p5_groups, p7_ids, p8_found, p9_found)}
+    return {f.__name__: f for f in (p4_found, p4_report, p5_found, p5_groups, p7_ids, p8_found, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
