@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dsforge.plans import quality_queries  # noqa: F401  (registers its queries)
 from dsforge.plans.registry import ORACLES, QUERIES, Query
 
 
