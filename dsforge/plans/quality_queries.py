@@ -3,11 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dsforge.operators import timestamps
+from dsforge.operators import quality_profile, timestamps
 from dsforge.plans.registry import query
 from dsforge.session import table
 
+COLUMNS = ["name", "country_code", "case_ref", "sector", "status_code", "amount_eur", "n_persons", "pct_fill", "is_public", "has_appeal", "decided_on"]
+COMPARED = ["country_code", "sector", "status_code", "amount_eur", "n_persons", "pct_fill", "is_public", "has_appeal"]
+PATTERNS = ["country_code", "case_ref", "status_code", "decided_on"]
+
+
+@query()
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_profile.find_faults(
+        table(spark, sf_dir, "extracted"), table(spark, sf_dir, "dataset_validate"), COLUMNS, COMPARED, PATTERNS, ["case_ref"], table(spark, sf_dir, "variable_spec")
+    )
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT load_no, '{c}' AS column_name, count(*) AS n_rows, sum(CASE WHEN {c} IS NOT NULL AND CAST({c} AS VARCHAR) <> '' THEN 1 ELSE 0 END)::BIGINT AS n_present,
+        count(DISTINCT CASE WHEN CAST({c} AS VARCHAR) <> '' THEN {c} END) AS n_unique FROM extracted WHERE load_no IS NOT NULL GROUP BY load_no"""
+        for c in COLUMNS
+    )
+)
+def p2_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_form = quality_profile.forms(quality_profile.long_values(table(spark, sf_dir, "extracted"), "load_no", COLUMNS), [])
+    return quality_profile.profile(by_form).select(F.col("_load").alias("load_no"), F.col("_column").alias("column_name"), "n_rows", "n_present", "n_unique")
+
+
+@query()
+def p2_two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each load is told from the others, by all compared columns, by one alone, and without it."""
+    df, bounds = table(spark, sf_dir, "extracted"), table(spark, sf_dir, "variable_spec")
+    by_form = quality_profile.forms(quality_profile.long_values(df, "load_no", COLUMNS, bounds, "collection"), PATTERNS)
+    codes, sizes = quality_profile._codes(df, "load_no", "ex_no", COMPARED, quality_profile.usual_forms(by_form), PATTERNS, bounds, "collection")
+    rows = [(a, b, c, float(d), float(e), float(f)) for a, b, c, d, e, f in quality_profile.two_sample_test(codes, sizes, COMPARED)]
+    return spark.createDataFrame(rows, "load_no int, column_name string, n_values long, area_alone double, area_all double, area_without double")
+
 
 @query()
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
