@@ -5,7 +5,8 @@ twice), each with a cost; of each source's records in order, the sequence of int
 A switch of format and a jump back in time cost a little, an interpretation against the source's declared order much more, so a declared
 order always decides and undeclared sources are settled by their neighbours.
 
-Scale: parsing is built-in expressions only. Viterbi is a product of small (min, +) matrices and so associative: a source is cut into blocks of at
+Scale: values are read in Arrow batches: the same tree of built-in expressions, used by several later ones, grows exponentially in the optimiser.
+Viterbi is a product of small (min, +) matrices and so associative: a source is cut into blocks of at
 most ``BLOCK`` record numbers, every block is reduced to the matrix between its first and last record, the matrices of a source
 are chained (one row per block), and each block is then resolved with both its ends fixed. The result equals that of one pass over
 the whole source, and no task ever holds more than one block of rows, however many rows one source has.
@@ -17,11 +18,17 @@ the input are ignored; an empty table gives an empty result; rows of equal numbe
 
 from __future__ import annotations
 
-from zoneinfo import available_timezones
+import re
+from collections.abc import Iterator
+from datetime import date, datetime, timedelta
+from functools import lru_cache
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dsforge.session import spread
+
 #: Record numbers in one block of a source.
 BLOCK = 1 << 20
 #: Costs: against the declared order; second instant of a repeated hour; order unknown; switch of format; jump back by more than a day.
@@ -42,108 +49,116 @@ ZONES = {
 }
 
 _ZONE = r"(?:\s*((?:utc|gmt)?\s*[+-]\d{2}:?\d{2}|[a-z]{1,5})?(?:\[[a-z0-9_/+-]+\])?)"
-_CLOCK = r"(\d{1,2})(?::|h)(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?:\s*([ap])\.?m\.?)?" + _ZONE
+_CLOCK = r"(?P<h>\d{1,2})(?::|h)(?P<mi>\d{2})(?::(?P<s>\d{2})(?:[.,](?P<f>\d{1,9}))?)?(?:\s*(?P<half>[ap])\.?m\.?)?" + _ZONE.replace("((?:", "(?P<z>(?:")
+_COMPACT = r"(?P<h>\d{2}):?(?P<mi>\d{2})(?::?(?P<s>\d{2})(?:[.,](?P<f>\d{1,9}))?)?" + _ZONE.replace("((?:", "(?P<z>(?:")
 _WEEKDAY = r"(?:[a-z]{2,9}\.?,?\s+)?"
-#: Kind, pattern of the whole value, and its parts: three date fields, hour, minute, second, fraction, a or p, zone.
+#: Kind and pattern of the whole value; a, b, c are the date's fields as written.
 _SHAPES = [
-    ("ymd", rf"^(\d{{4}})([-/.])(\d{{1,2}})\2(\d{{1,2}})(?:(?:t|,?\s+){_CLOCK})?$", "$1|$3|$4|$5|$6|$7|$8|$9|$10"),
-    ("ymd", r"^(\d{4})(\d{2})(\d{2})(?:t?(\d{2}):?(\d{2})(?::?(\d{2})(?:[.,](\d{1,9}))?)?" + _ZONE + r")?$", "$1|$2|$3|$4|$5|$6|$7||$8"),
-    ("num", rf"^(\d{{1,2}})([/.-])(\d{{1,2}})\2(\d{{4}}|\d{{2}})(?:(?:t|,?\s+){_CLOCK})?$", "$1|$3|$4|$5|$6|$7|$8|$9|$10"),
-    ("dmon", rf"^{_WEEKDAY}(\d{{1,2}})(?:er|st|nd|rd|th)?[\s-]+([a-z]+)\.?,?[\s-]+(\d{{4}})(?:(?:,|\s+a|\s+at)?\s+{_CLOCK})?$", "$1|$2|$3|$4|$5|$6|$7|$8|$9"),
-    ("mond", rf"^{_WEEKDAY}([a-z]+)\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})(?:(?:,|\s+at)?\s+{_CLOCK})?$", "$1|$2|$3|$4|$5|$6|$7|$8|$9"),
-]
-_EPOCH = r"^(\d{10,19})(?:\.(\d{1,9}))?$"
-
-
-def _number(c: Column) -> Column:
-    return F.nullif(c, F.lit("")).cast("int")
-
-
-def _lookup(values: dict[str, int], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
-
-
-def _day(y: Column, m: Column, d: Column) -> Column:
-    """Days since 1970 of a day that exists, else null; plain integer arithmetic, so nothing can throw."""
-    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
-    last = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
-    yy = F.when(m <= 2, y - 1).otherwise(y)
-    of_year = F.floor((153 * F.when(m > 2, m - 3).otherwise(m + 9) + 2) / 5) + d - 1
-    days = yy * 365 + F.floor(yy / 4) - F.floor(yy / 100) + F.floor(yy / 400) + of_year - 719468
-    return F.when(y.between(1000, 9999) & m.between(1, 12) & (d >= 1) & (d <= last), days.cast("long"))
-
-
-def _clean(c: Column) -> Column:
-    """Lower case, without accents of month names, outer white space and closing stop; inner white space single."""
-    one = F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
-    return F.regexp_replace(F.translate(one, "éèêëàâäîïôöûùüç", "eeeeaaaiioouuuc"), r"\s*\.+$", "")
-
-
-def interpretations(value: Column, order: Column, zone: Column) -> Column:
-    """All valid interpretations of a text as array<struct<fmt, cost, at, day_only>>; ``at`` counts microseconds from 1970 in UTC.
-
-    ``order`` is dmy, mdy or null, ``zone`` the name of the source's time zone or null. ``fmt`` tells the format by number.
-    """
-    s = _clean(value)
-    shape = F.lit(None).cast("string")
-    for kind, pattern, parts in reversed(_SHAPES):
-        shape = F.when(s.rlike(pattern), F.concat(F.lit(f"{kind}|"), F.regexp_replace(s, pattern, parts))).otherwise(shape)
-    return F.transform(F.array(F.struct(s.alias("s"), F.split(shape, r"\|").alias("p"), order.alias("order"), zone.alias("zone"))), _read)[0]
-
-
-def _read(v: Column) -> Column:
-    p, order, zone = v["p"], v["order"], v["zone"]
-    part = lambda i: F.get(p, F.lit(i))
-    kind = part(0)
-    a, b, c = (F.when(part(i).rlike(r"^\d+$"), part(i)).cast("int") for i in (1, 2, 3))
-    year4 = F.when(F.length(part(3)) == 2, c + 2000).otherwise(c)
-    h, minute, second = _number(part(4)), _number(part(5)), F.coalesce(_number(part(6)), F.lit(0))
-    fraction = F.coalesce(F.nullif(F.substring(F.rpad(part(7), 6, "0"), 1, 6), F.lit("000000")), F.lit("0")).cast("long")
-    half = part(8)
-    hour = F.when(half == "a", h % 12).when(half == "p", h % 12 + 12).otherwise(h)
-    timed = h.isNotNull()
-    clock_ok = ~timed | ((hour <= 23) & (minute <= 59) & (second <= 59) & ((F.coalesce(half, F.lit("")) == "") | h.between(1, 12)))
-    micros = ((hour * 3600 + minute * 60 + second).cast("long") * 1_000_000) + fraction
-    given = F.regexp_replace(part(9), r"^(?:utc|gmt)?\s*(?=[+-])|:", "")
-    signed = given.rlike(r"^[+-]\d{4}$")
-    digits = F.when(signed, given)
-    minutes = F.substring(digits, 2, 2).cast("int") * 60 + F.substring(digits, 4, 2).cast("int")
-    offset = F.when(F.coalesce(given, F.lit("")) == "", F.lit(None).cast("int")).when(signed, F.when(F.substring(given, 1, 1) == "-", -minutes).otherwise(minutes)).otherwise(_lookup(ZONES, given))
-    zone_ok = (F.coalesce(given, F.lit("")) == "") | offset.isNotNull()
-    local_zone = F.when(zone.isin(*sorted(available_timezones())), zone).otherwise(F.lit("UTC"))
-
-    def make(fmt: int, cost: Column, y: Column, m: Column, d: Column) -> Column:
-        """One interpretation, or two of a local time that occurs twice, as an array."""
-        day = _day(y, m, d)
-        local = day * DAY + F.coalesce(micros, F.lit(0).cast("long"))
-        ts = F.timestamp_micros(local)
-        # java.time's rule: of two instants the earlier; a time in a gap moves on by the length of the gap
-        first = F.unix_micros(F.to_utc_timestamp(ts, local_zone))
-        later = first + 3_600_000_000
-        again = timed & offset.isNull() & (F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(later), local_zone)) == local)
-        at = F.when(~timed, local).when(offset.isNotNull(), local - offset.cast("long") * 60_000_000).otherwise(first)
-        one = F.struct(F.lit(fmt).alias("fmt"), cost.cast("double").alias("cost"), at.alias("at"), (~timed).alias("day_only"))
-        two = F.struct(F.lit(fmt).alias("fmt"), (cost + SECOND).cast("double").alias("cost"), later.alias("at"), F.lit(False).alias("day_only"))
-        none = F.array().cast("array<struct<fmt:int,cost:double,at:bigint,day_only:boolean>>")
-        return F.when(day.isNull() | ~clock_ok | ~zone_ok, none).when(again, F.array(one, two)).otherwise(F.array(one))
-
-    against = lambda o: F.when(order == o, 0.0).when(order.isin("dmy", "mdy"), AGAINST).otherwise(0.0)
-    numbers = F.when(
-        (a == b) | (a > 12) & (b > 12), make(2, against("dmy"), year4, b, a)
-    ).otherwise(F.concat(make(2, against("dmy"), year4, b, a), make(3, against("mdy"), year4, a, b)))
-    whole = F.regexp_extract(v["s"], _EPOCH, 1)
-    n = F.length(whole)
-    rest = F.rpad(F.substring(F.regexp_extract(v["s"], _EPOCH, 2), 1, 6), 6, "0").cast("long")
-    count = whole.cast("decimal(19,0)")
-    epoch = F.when(n <= 11, count * 1_000_000 + rest).when(n <= 14, count * 1000).when(n <= 17, count).otherwise(F.floor(count / 1000)).cast("long")
-    number = F.array(F.struct(F.lit(6).alias("fmt"), F.lit(0.0).alias("cost"), epoch.alias("at"), F.lit(False).alias("day_only")))
-    return (
-        F.when(v["s"].rlike(_EPOCH), number)
-        .when(kind == "ymd", make(1, F.lit(0.0), a, b, c))
-        .when(kind == "num", numbers)
-        .when(kind == "dmon", make(4, F.lit(0.0), c, _lookup(MONTHS, part(2)), a))
-        .when(kind == "mond", make(5, F.lit(0.0), c, _lookup(MONTHS, part(1)), b))
+    (kind, re.compile(pattern + r"$"))
+    for kind, pattern in (
+        ("ymd", rf"(?P<a>\d{{4}})([-/.])(?P<b>\d{{1,2}})\2(?P<c>\d{{1,2}})(?:(?:t|,?\s+){_CLOCK})?"),
+        ("ymd", rf"(?P<a>\d{{4}})(?P<b>\d{{2}})(?P<c>\d{{2}})(?:t{_COMPACT})?"),
+        ("num", rf"(?P<a>\d{{1,2}})([/.-])(?P<b>\d{{1,2}})\2(?P<c>\d{{4}}|\d{{2}})(?:(?:t|,?\s+){_CLOCK})?"),
+        ("dmon", rf"{_WEEKDAY}(?P<a>\d{{1,2}})(?:er|st|nd|rd|th)?[\s-]+(?P<b>[a-z]+)\.?,?[\s-]+(?P<c>\d{{4}})(?:(?:,|\s+a|\s+at)?\s+{_CLOCK})?"),
+        ("mond", rf"{_WEEKDAY}(?P<a>[a-z]+)\.?\s+(?P<b>\d{{1,2}})(?:st|nd|rd|th)?,?\s+(?P<c>\d{{4}})(?:(?:,|\s+at)?\s+{_CLOCK})?"),
     )
+]
+_EPOCH = re.compile(r"(\d{10,19})(?:\.(\d{1,9}))?$")
+_PLAIN = str.maketrans("éèêëàâäîïôöûùüç", "eeeeaaaiioouuuc")
+_OFFSET = re.compile(r"^(?:utc|gmt)?\s*(?=[+-])|:")
+
+
+def _ordinal(y: int, m: int, d: int) -> int | None:
+    """Days since 1970 of a day that exists."""
+    try:
+        return date(y, m, d).toordinal() - 719163
+    except ValueError:
+        return None
+
+
+def interpretations(value: str | None, order: str | None = None, zone: str | None = None) -> list[tuple[int, float, int, bool]]:
+    """All valid interpretations (fmt, cost, at, day_only) of a text; ``at`` counts microseconds from 1970 in UTC, ``fmt`` numbers the formats."""
+    if not value:
+        return []
+    s = " ".join(value.lower().split()).translate(_PLAIN).rstrip(". ")
+    if m := _EPOCH.match(s):
+        n, rest = int(m[1]), int((m[2] or "0")[:6].ljust(6, "0"))
+        length = len(m[1])
+        return [(6, 0.0, n * 1_000_000 + rest if length <= 11 else n * 1000 if length <= 14 else n if length <= 17 else n // 1000, False)]
+    for kind, pattern in _SHAPES:
+        if m := pattern.match(s):
+            break
+    else:
+        return []
+    g = m.groupdict()
+    a, b, c = g["a"], g["b"], g["c"]
+    if kind == "num":
+        year = int(c) + 2000 if len(c) == 2 else int(c)
+        days = [(2, 0.0 if order != "mdy" or a == b else AGAINST, _ordinal(year, int(b), int(a)))]
+        if int(a) != int(b):
+            days.append((3, AGAINST if order == "dmy" else 0.0, _ordinal(year, int(a), int(b))))
+        elif days[0][1]:
+            days = [(2, 0.0, days[0][2])]
+    elif kind == "ymd":
+        days = [(1, 0.0, _ordinal(int(a), int(b), int(c)))]
+    else:
+        month, day = (MONTHS.get(b), int(a)) if kind == "dmon" else (MONTHS.get(a), int(b))
+        days = [(4 if kind == "dmon" else 5, 0.0, _ordinal(int(c), month, day) if month else None)]
+    days = [x for x in days if x[2] is not None and x[2] > -354_000]  # from the year 1000 on
+    if g["h"] is None:
+        return [(f, cost, day * DAY, True) for f, cost, day in days]
+    h, minute, second, half = int(g["h"]), int(g["mi"]), int(g["s"] or 0), g.get("half")
+    if half:
+        if not 1 <= h <= 12:
+            return []
+        h = h % 12 + 12 * (half == "p")
+    if h > 23 or minute > 59 or second > 59:
+        return []
+    micros = (h * 3600 + minute * 60 + second) * 1_000_000 + int((g["f"] or "0")[:6].ljust(6, "0"))
+    given = _OFFSET.sub("", g["z"] or "").strip()
+    if given[:1] in ("+", "-"):
+        offset = int(given[1:3]) * 60 + int(given[3:5])
+        offset = -offset if given[0] == "-" else offset
+    elif given:
+        if given not in ZONES:
+            return []
+        offset = ZONES[given]
+    else:
+        info = _zone(zone)
+        out = []
+        for f, cost, day in days:
+            local = datetime.fromordinal(day + 719163) + timedelta(hours=h, minutes=minute, seconds=second)
+            # fold 0 is the earlier of two instants, and moves a time in a gap on by the length of the gap
+            shifts = [info.utcoffset(local.replace(fold=x)) for x in (0, 1)]
+            out.append((f, cost, day * DAY + micros - int(shifts[0].total_seconds()) * 1_000_000, False))
+            if shifts[1] < shifts[0]:
+                out.append((f, cost + SECOND, day * DAY + micros - int(shifts[1].total_seconds()) * 1_000_000, False))
+        return out
+    return [(f, cost, day * DAY + micros - offset * 60_000_000, False) for f, cost, day in days]
+
+
+@lru_cache(4096)
+def _zone(name: str | None):
+    """The time zone of that name; UTC if there is none."""
+    try:
+        return ZoneInfo(name) if name else ZoneInfo("UTC")
+    except (ZoneInfoNotFoundError, ValueError, OSError):
+        return ZoneInfo("UTC")
+
+
+_READ = "_no {kind}, _field string, _source string, _block long, _text string, _fmt array<int>, _at array<long>, _cost array<double>, _day array<boolean>"
+
+
+def _parse(batches: Iterator) -> Iterator:
+    """Reads every value; the columns are number, field, source, block, text, order and zone."""
+    import pyarrow as pa
+
+    for batch in batches:
+        found = [interpretations(*x) for x in zip(*(batch.column(i).to_pylist() for i in (4, 5, 6)))]
+        keep = [i for i, f in enumerate(found) if f]
+        lists = [pa.array([[x[k] for x in found[i]] for i in keep], pa.list_(t)) for k, t in ((0, pa.int32()), (2, pa.int64()), (1, pa.float64()), (3, pa.bool_()))]
+        kept = batch.take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(kept.column(i) for i in range(5)), *lists], names=["_no", "_field", "_source", "_block", "_text", "_fmt", "_at", "_cost", "_day"])
 
 
 def utc_text(at: Column, day_only: Column) -> Column:
@@ -184,9 +199,10 @@ def _viterbi(cands: list[list[tuple]], first: int | None, last: int | None) -> l
     return out[::-1]
 
 
-def _records(pdf) -> list[list[tuple]]:
-    pdf.sort_values(["_no", "_text"], inplace=True, kind="stable")
-    return [list(zip(f, a, c)) for f, a, c in zip(pdf["_fmt"], pdf["_at"], pdf["_cost"])]
+def _records(pdf):
+    """The rows in order and their interpretations (fmt, at, cost)."""
+    pdf = pdf.sort_values(["_no", "_text"], kind="stable")
+    return pdf, [list(zip(f, a, c)) for f, a, c in zip(pdf["_fmt"], pdf["_at"], pdf["_cost"])]
 
 
 _KEY = ["_source", "_field", "_block"]
@@ -197,7 +213,7 @@ def _summary(key, pdf):
     """The block's matrix of least costs from each interpretation of its first record to each of its last."""
     import pandas as pd
 
-    cands = _records(pdf)
+    _, cands = _records(pdf)
     matrix = []
     for i in range(len(cands[0])):
         best = [x[2] if j == i else float("inf") for j, x in enumerate(cands[0])]
@@ -243,30 +259,26 @@ def _chain(key, pdf):
 def _resolve(key, pdf):
     import pandas as pd
 
-    cands = _records(pdf)
+    pdf, cands = _records(pdf)
     picks = _viterbi(cands, int(pdf["_begin"].iloc[0]), int(pdf["_end"].iloc[0]))
     return pd.DataFrame({"_no": pdf["_no"].to_numpy(), "_field": pdf["_field"].to_numpy(), "_at": [r[i][1] for r, i in zip(cands, picks)], "_day": [d[i] for d, i in zip(pdf["_day"], picks)]})
 
 
 def normalise(df: DataFrame, sources: DataFrame, fields: tuple[str, ...] = ("date", "last_updated"), row_col: str = "row_no", source_col: str = "source_site", zone_col: str = "tz_name", order_col: str = "date_order", block: int = BLOCK) -> DataFrame:
     """(row_no, field_name, utc_value) of every usable value of ``fields``; ``sources`` has zone and order of each source."""
-    known = sources.select(F.col(f"`{source_col}`").cast("string").alias("_source"), F.col(f"`{zone_col}`").alias("_zone"), F.lower(F.col(f"`{order_col}`")).alias("_order")).where("_source is not null").dropDuplicates(["_source"])
+    known = sources.select(F.col(f"`{source_col}`").cast("string").alias("_source"), F.col(f"`{zone_col}`").cast("string").alias("_zone"), F.lower(F.col(f"`{order_col}`")).alias("_order")).where("_source is not null").dropDuplicates(["_source"])
+    kind = df.schema[row_col].dataType.simpleString()
     values = df.select(
         F.col(f"`{row_col}`").alias("_no"),
         F.col(f"`{source_col}`").cast("string").alias("_source"),
         F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"`{f}`").cast("string").alias("t")) for f in fields])).alias("_v"),
-    ).select("_no", "_source", F.col("_v.f").alias("_field"), F.col("_v.t").alias("_text")).where(F.col("_text").rlike(r"\d"))
+    ).where(F.col("_v.t").rlike(r"\d"))
     read = (
-        values.join(known, "_source", "left")
-        .withColumn("_c", interpretations(F.col("_text"), F.col("_order"), F.col("_zone")))
-        .where(F.size("_c") > 0)
-        .select(
-            "_no", "_field", "_text", F.coalesce("_source", F.lit("")).alias("_source"), F.floor(F.col("_no") / block).alias("_block"),
-            F.col("_c.fmt").alias("_fmt"), F.col("_c.at").alias("_at"), F.col("_c.cost").alias("_cost"), F.col("_c.day_only").alias("_day"),
-        )
-    )
+        spread(values.join(known, "_source", "left"))
+        .select("_no", F.col("_v.f").alias("_field"), F.coalesce("_source", F.lit("")).alias("_source"), F.coalesce(F.floor(F.col("_no") / block), F.lit(0).cast("long")).alias("_block"), F.col("_v.t").alias("_text"), "_order", "_zone")
+        .mapInArrow(_parse, _READ.format(kind=kind))
+    )
     ends = read.groupBy(*_KEY).applyInPandas(_summary, _ENDS)
     chosen = ends.groupBy("_source", "_field").applyInPandas(_chain, "_source string, _field string, _block long, _begin int, _end int")
-    kind = df.schema[row_col].dataType.simpleString()
     picked = read.join(chosen, _KEY).groupBy(*_KEY).applyInPandas(_resolve, f"_no {kind}, _field string, _at long, _day boolean")
     return picked.select(F.col("_no").alias(row_col), F.col("_field").alias("field_name"), utc_text(F.col("_at"), F.col("_day")).alias("utc_value"))
