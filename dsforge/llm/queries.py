@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dsforge.llm import contamination, dedupe, entity_map, reading_level, tokenizer
+from dsforge.llm import boilerplate, contamination, dedupe, entity_map, reading_level, tokenizer
 from dsforge.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _with_source(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """Rows of ``dataset`` whose collection has one of ``fields`` as primary source, with that field's name."""
+    book = table(spark, sf_dir, "codebook").where(F.col("primary_source_field").isin(*fields)).select("collection", "primary_source_field")
+    return table(spark, sf_dir, "dataset").join(book, "collection")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.furniture_lines(_with_source(spark, sf_dir, "text"))
+
+
+def p1_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.main_body(_with_source(spark, sf_dir, "text"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = table(spark, sf_dir, "variable_spec").where("name = 'name'")
     return entity_map.mapped(table(spark, sf_dir, "extracted"), lists)
@@ -47,7 +61,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p4_found, p4_report, p5_found, p5_groups, p7_ids, p8_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_bodies, p4_found, p4_report, p5_found, p5_groups, p7_ids, p8_found, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
