@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dsforge.llm import boilerplate, contamination, dedupe, entity_map, reading_level, tokenizer
+from dsforge.llm import boilerplate, contamination, dedupe, entity_map, reading_level, scan_repair, tokenizer
 from dsforge.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,23 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.one_per_group(table(spark, sf_dir, "dataset"))
 
 
+def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scanned texts, from the row or from the file it names, with title and the owner of its site."""
+    rows = _with_source(spark, sf_dir, "pdf_text", "text_path").select("row_no", "source_site", "title", "text_path", "pdf_text", "primary_source_field")
+    files = table(spark, sf_dir, "text_files").select(F.col("path").alias("text_path"), "content")
+    sites = table(spark, sf_dir, "sites").select("source_site", "owner_name")
+    text = F.when(F.col("primary_source_field") == "pdf_text", F.col("pdf_text")).otherwise(F.col("content"))
+    return rows.join(files, "text_path", "left").join(sites, "source_site", "left").select("row_no", "title", "owner_name", text.alias("text"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_repair.find_noise(_scans(spark, sf_dir), name_cols=("title", "owner_name"))
+
+
+def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_repair.repair(_scans(spark, sf_dir), name_cols=("title", "owner_name"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -61,7 +78,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_bodies, p4_found, p4_report, p5_found, p5_groups, p7_ids, p8_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_bodies, p4_found, p4_report, p5_found, p5_groups, p6_found, p6_repaired, p7_ids, p8_found, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
