@@ -184,8 +184,11 @@ def fit_levels(docs: DataFrame, labels: DataFrame, doc_col: str = "doc_id", text
         .agg(F.array_sort(F.collect_list(F.col(f"`{level_col}`").cast("int"))).alias("_l"))
         .select("_d", F.element_at("_l", F.expr("cast((size(_l) + 1) div 2 as int)")).alias("_level"))
     )
+    # the sample is drawn from the labels alone: about twice as many as needed pass the hash, so no task sends more than its share of numbers to the driver
+    share = max(1, by_doc.count() // (2 * MAX_DOCS))
+    drawn = by_doc.where(F.pmod(F.xxhash64("_d"), F.lit(share)) == 0).orderBy(F.xxhash64("_d", F.lit(1))).limit(MAX_DOCS)
     texts = docs.select(F.col(f"`{doc_col}`").alias("_d"), F.col(f"`{text_col}`").cast("string").alias("_t")).where(f"_t is not null and length(_t) <= {MAX_TRAIN_CHARS}")
-    sample = texts.join(by_doc, "_d").orderBy(F.xxhash64("_d"), "_t").limit(MAX_DOCS).collect()
+    sample = texts.join(F.broadcast(drawn), "_d").dropDuplicates(["_d"]).orderBy("_d").collect()
     return ReadingModel.fit([r._t for r in sample], [r._level for r in sample])
 
 
