@@ -75,8 +75,8 @@ def strip_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", X.strip_tags(F.col("html")).alias("body"))
 
 
-@query(f"""WITH {PAGES} SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', '', 'g'), '(?is)<head\\b[^>]*>.*?</head>', '', 'g'),
- '(?s)<!--.*?-->', '', 'g'), '(?is)<nav\\b[^>]*>.*?</nav>', '', 'g'), ' style="[^"]*"', '', 'g'))::INTEGER AS n_chars FROM pages""")
+@query(f"""WITH {PAGES} SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', '', 'g'), '(?is)<head\\b[^>]*>.*?</head>', '', 'g'),
+ '(?s)<!--.*?-->', '', 'g'), '(?is)<nav\\b[^>]*>.*?</nav>', '', 'g'), ' style="[^"]*"', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n\\s*\\n+', '\\n', 'g'))::INTEGER AS n_chars FROM pages""")
 def strip_chrome_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", F.length(X.strip_chrome(F.col("html"))).alias("n_chars"))
 
@@ -161,7 +161,7 @@ def text_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspection.text_gate(d, F.col("text"), ["title", "date", "detail_url"]).select("row_no", F.col("_extract_status").alias("status"))
 
 
-@query("SELECT row_no, CASE WHEN length(pdf_text) > 200 THEN pdf_text WHEN length(text) > 200 THEN text ELSE concat_ws(chr(10), CASE WHEN regexp_matches(title, '\\S') THEN 'title: ' || title END, 'load_no: ' || load_no::VARCHAR) END AS body FROM (SELECT row_no, pdf_text, text, title, load_no FROM dataset)")
+@query("SELECT row_no, CASE WHEN length(pdf_text) > 200 THEN pdf_text WHEN length(text) > 200 THEN text ELSE concat_ws(chr(10), CASE WHEN regexp_matches(text, '\\S') THEN 'text: ' || text END, CASE WHEN regexp_matches(title, '\\S') THEN 'title: ' || title END, 'load_no: ' || load_no::VARCHAR) END AS body FROM (SELECT row_no, pdf_text, text, title, load_no FROM dataset)")
 def row_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "dataset").select("pdf_text", "text", "title", "load_no", F.col("row_no").alias("_row_no"))
     return d.select(F.col("_row_no").alias("row_no"), inspection.row_text(d).alias("body"))
