@@ -76,7 +76,7 @@ def strip_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PAGES} SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', '', 'g'), '(?is)<head\\b[^>]*>.*?</head>', '', 'g'),
- '(?s)<!--.*?-->', '', 'g'), '(?is)<nav\\b[^>]*>.*?</nav>', '', 'g'), ' style="[^"]*"', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n\\s*\\n+', '\\n', 'g'))::INTEGER AS n_chars FROM pages""")
+ '(?s)<!--.*?-->', '', 'g'), '(?is)<nav\\b[^>]*>.*?</nav>', '', 'g'), ' style="[^"]*"', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n\\s*\\n+', chr(10), 'g'))::INTEGER AS n_chars FROM pages""")
 def strip_chrome_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", F.length(X.strip_chrome(F.col("html"))).alias("n_chars"))
 
