@@ -79,7 +79,7 @@ class Lists:
         n = sum(map(len, split.values()))
         common = {t for t, x in df.items() if x >= max(3, COMMON * n)}
         self.weight = {t: math.log(1 + n / x) for t, x in df.items()}
-        self.common = common
+        self.common, self.df = common, df
         self.automata, self.entries, self.near = {}, {}, {}
         for k, v in split.items():
             self._build(k, v)
@@ -93,7 +93,8 @@ class Lists:
         for i, (_, ts) in enumerate(entries):
             legal = next((" ".join(ts[-m:]) for m in (2, 1) if len(ts) > m and " ".join(ts[-m:]) in LEGAL), "")
             rest = ts[: len(ts) - len(legal.split())]
-            own = [t for t in rest if t not in self.common] or rest
+            rare = [t for t in rest if t not in self.common] or rest
+            own = [t for t in rare if self.df[t] == min(self.df[x] for x in rare)]
             sector = [t for t in rest if t not in own]
             parts.append((own, sector, legal.split()))
             forms = {"".join(sector), "".join(map(skeleton, sector)), "".join(t[:4] for t in sector), "".join(t[:4] for t in sector[:1]), "".join(t[0] for t in sector)}

@@ -31,6 +31,8 @@ LEVELS = 4
 MAX_DOCS, MAX_TRAIN_CHARS = 3000, 20_000
 WORDS, GRAMS = 1 << 16, 1 << 16
 L2, STEPS, FOLDS = 2e-5, 120, 3
+#: With fewer labelled documents there is nothing to calibrate on: the level of the largest mean log-probability is taken.
+MIN_CALIBRATION = 30
 _SENTENCE = re.compile(r"(?<=[.!?…;])[\"'”’»)]*\s+|\n+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+")
 
@@ -126,11 +128,16 @@ def shares(probs, lengths):
     return np.concatenate([mean, log_mean - log_mean.mean(), first])
 
 
+def _start(width: int):
+    w = np.zeros((width + 1, LEVELS))
+    w[LEVELS : 2 * LEVELS] = np.eye(LEVELS)
+    return w
+
+
 def _fit_calibration(x, y):
-    w = np.zeros((x.shape[1] + 1, LEVELS))
+    w = _start(x.shape[1])  # begins as: the level of largest log-mean
     x1 = np.hstack([x, np.ones((len(x), 1))])
     target = np.eye(LEVELS)[y]
-    w[LEVELS : 2 * LEVELS] = np.eye(LEVELS)  # starts as: the level of largest log-mean
     m, v = np.zeros_like(w), np.zeros_like(w)
     start = w.copy()
     for t in range(1, 301):
@@ -152,13 +159,14 @@ class ReadingModel:
             return cls(None, None, kept[0][1] + 1 if kept else 2)
         docs, y = [d for d, _ in kept], np.array([y for _, y in kept])
         x = np.zeros((len(docs), 3 * LEVELS))
+        enough = len(docs) >= MIN_CALIBRATION
         folds = np.arange(len(docs)) % FOLDS
-        for k in range(FOLDS):
+        for k in range(FOLDS if enough else 0):
             train = [i for i in range(len(docs)) if folds[i] != k]
             model = SentenceModel.fit([s for i in train for s in docs[i]], np.array([y[i] for i in train for _ in docs[i]]))
             for i in np.flatnonzero(folds == k):
                 x[i] = shares(model.predict(docs[i]), np.array([len(s) for s in docs[i]]))
-        return cls(SentenceModel.fit([s for d in docs for s in d], np.array([lv for lv, d in zip(y, docs) for _ in d])), _fit_calibration(x, y), None)
+        return cls(SentenceModel.fit([s for d in docs for s in d], np.array([lv for lv, d in zip(y, docs) for _ in d])), _fit_calibration(x, y) if enough else _start(3 * LEVELS), None)
 
     def predict(self, texts: list[str]) -> list[int]:
         if self.constant is not None:
