@@ -50,11 +50,14 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scanned texts, from the row or from the file it names, with title and the owner of its site."""
-    rows = _with_source(spark, sf_dir, "pdf_text", "text_path").select("row_no", "source_site", "title", "text_path", "pdf_text", "primary_source_field")
-    files = table(spark, sf_dir, "text_files").select(F.col("path").alias("text_path"), "content")
+    columns = ["row_no", "source_site", "title"]
+    rows = _with_source(spark, sf_dir, "pdf_text", "text_path")
+    files = table(spark, sf_dir, "text_files").select(F.col("path").alias("text_path"), F.col("content").alias("text"))
     sites = table(spark, sf_dir, "sites").select("source_site", "owner_name")
-    text = F.when(F.col("primary_source_field") == "pdf_text", F.col("pdf_text")).otherwise(F.col("content"))
-    return rows.join(files, "text_path", "left").join(sites, "source_site", "left").select("row_no", "title", "owner_name", text.alias("text"))
+    # texts held in the row need no join: rows without a path would all meet in one task, and their texts would be shuffled for nothing
+    held = rows.where("primary_source_field = 'pdf_text'").select(*columns, F.col("pdf_text").alias("text"))
+    read = rows.where("primary_source_field = 'text_path' and text_path is not null").select(*columns, "text_path").join(files, "text_path").select(*columns, "text")
+    return held.unionAll(read).join(sites, "source_site", "left").select("row_no", "title", "owner_name", "text")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
