@@ -84,5 +84,20 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p1_bodies, p4_found, p4_report, p5_found, p5_groups, p6_found, p6_repaired, p7_ids, p8_found, p9_found)}
 
 
+def _plain(c: str) -> str:
+    return f"regexp_replace(lower({c}), '[\\p{{P}}\\p{{Z}}\\s\\p{{C}}$+<=>^`|~]+', '', 'g')"
+
+
+_CANONICAL = f"""c AS (SELECT row_no, id, detail_url, title, extra, {_plain('id')} AS k1, {_plain('title')} AS k2,
+ CASE WHEN strpos(detail_url, '?') > 0 THEN {_plain("substr(detail_url, 1, strpos(detail_url, '?') - 1)")} || coalesce('?' || nullif(array_to_string(list_sort(list_filter(list_transform(
+ string_split(replace(substr(detail_url, strpos(detail_url, '?') + 1), ';', '&'), '&'), lambda x : {_plain('x')}), lambda x : x <> '')), '&'), ''), '') ELSE {_plain('detail_url')} END AS k3,
+ CASE WHEN extra IS NULL THEN NULL WHEN json_valid(extra) THEN array_to_string(list_sort(list_transform(json_keys(lower(extra)), lambda k : {_plain('k')} || ':' || {_plain("json_extract_string(lower(extra), '$.' || k)")})), ',')
+ ELSE {_plain('extra')} END AS k4 FROM dataset)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL exists where it can say the same on whole tables; the other operators are tested against brute force, round trips and held-out data."""
+    return {
+        "p5_found": f"WITH {_CANONICAL}, k AS (SELECT row_no, min(row_no) OVER (PARTITION BY k1, k2, k3, k4) AS keep_no FROM c) SELECT keep_no, row_no AS copy_no FROM k WHERE row_no <> keep_no",
+        "p5_groups": f"WITH {_CANONICAL} SELECT min(row_no) AS keep_no, count(*) AS n_copies, count(DISTINCT struct_pack(a := id, b := detail_url, c := title, d := extra)) AS n_spellings FROM c GROUP BY k1, k2, k3, k4",
+    }
