@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dsforge.session import checkpoint
+
 # Fields that don't take part in a row's content id.
 UNSTABLE = {"id", "text_path", "txt_path", "txt_file", "text_file", "cache_path"}
 
@@ -200,7 +202,8 @@ def stratified_sample(df: DataFrame, k: int, order: str, seed: int = 42) -> Data
 
 def numbered_rows(df: DataFrame, order: str, out: str = "_n") -> DataFrame:
     """Rows with their place by ``order``, from zero: range partitions are numbered each by itself and shifted by the sizes of those before."""
-    parts = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    # written once: the places must come from the same partitions as the sizes, also after a task is repeated
+    parts = checkpoint(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
     local = parts.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     # one row per partition, so the window without partitions is small

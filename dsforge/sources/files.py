@@ -89,7 +89,9 @@ def resolve_refs(value, root: str):
 def join_files(df: DataFrame, files: DataFrame, path_col: str, key: str = "path", content: str = "content") -> DataFrame:
     """Rows with the text of the file they name, null where there is none: references as one join."""
     texts = files.select(F.col(key).alias("_path"), F.col(content).alias("_file_text"))
-    return df.join(texts, F.col(path_col) == F.col("_path"), "left").drop("_path")
+    # rows without a path never match; in the join they would all meet in one task
+    named = df.where(F.col(path_col).isNotNull()).join(texts, F.col(path_col) == F.col("_path"), "left").drop("_path")
+    return named.unionByName(df.where(F.col(path_col).isNull()).withColumn("_file_text", F.lit(None).cast("string")))
 
 
 def rows_argument(spark: SparkSession, value, schema: T.StructType, root: str = ".") -> DataFrame:
