@@ -38,7 +38,7 @@ SEEDS = [
     "keywords:", "read also", "on the same subject", "lire aussi", "à lire aussi", "sur le même sujet", "see also", "voir aussi", "related content", "most read", "latest items",
     "you may also like", "in the same section", "dans la même rubrique", "derniers contenus", "les plus lus", "download as", "download the attached", "télécharger", "share this", "partager",
     "copy link", "copier le lien", "send by e-mail", "envoyer par", "report an error", "signaler une erreur", "accessibility", "accessibilité", "privacy policy", "terms of use",
-    "conditions d'utilisation", "legal notice", "mentions légales", "site map", "plan du site", "all rights reserved", "tous droits réservés", "données personnelles", "read the cookie policy",
+    "conditions d'utilisation", "legal notice", "mentions légales", "site map", "plan du site", "all rights reserved", "tous droits réservés", "données personnelles", "read the cookie policy", "en savoir plus sur les traceurs",
     "manage my choices", "gérer mes choix", "accept |", "accept all", "tout accepter", "continue without accepting", "continuer sans accepter", "ok, got it", "j'ai compris", "enter your e-mail",
     "saisissez votre", "subscribe to", "abonnez-vous", "get our monthly", "recevez notre", "follow our feed", "suivez notre", "toggle navigation", "ouvrir la navigation", "skip to", "aller au contenu",
     "search this site", "search: keyword", "rechercher sur", "rechercher :", "back to top", "haut de page", "advertisement", "publicité", "article continues", "la suite après cette annonce", "was this page",
@@ -90,7 +90,7 @@ class Lines:
 
     def _read(self, x: str) -> tuple:
         low, words, ends = x.lower(), x.split(), x.endswith(_SENTENCE_END)
-        titled = self.first_words.get(words[0].lower(), 0.0) if len(words) <= 18 and not x.endswith((".", "!", "?", "…", ",", ";")) else 0.0
+        titled = self.first_words.get(words[0].lower(), 0.0) if len(words) <= 18 and x[0].isupper() and not x.endswith((".", "!", "?", "…", ",", ";")) else 0.0
         m = _BULLET.match(x)
         bullet = 0 if not m else 3 if m[1] in "»›" else 1 if m[2].islower() or m[2].isdigit() else 2
         tokens = [self.scores.get(t, 0.0) for t in _TOKEN.findall(low)] or [0.0]
