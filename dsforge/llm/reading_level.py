@@ -30,7 +30,7 @@ from dsforge.session import spread
 LEVELS = 4
 MAX_DOCS, MAX_TRAIN_CHARS = 3000, 20_000
 WORDS, GRAMS = 1 << 16, 1 << 16
-L2, STEPS, FOLDS = 2e-5, 120, 3
+L2, STEPS, FOLDS = 2e-5, 60, 3
 #: With fewer labelled documents there is nothing to calibrate on: the level of the largest mean log-probability is taken.
 MIN_CALIBRATION = 30
 _SENTENCE = re.compile(r"(?<=[.!?…;])[\"'”’»)]*\s+|\n+")
