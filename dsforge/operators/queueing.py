@@ -68,7 +68,7 @@ def sweep(items: DataFrame, page: str, place: str, key: str, known: DataFrame |
     if max_pages is not None:
         stop = stop | (F.col("_nth") > max_pages)
     pages = pages.withColumn("_stopped", F.max(F.when(F.coalesce(stop, F.lit(False)), 1).otherwise(0)).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    return first.join(F.broadcast(pages.where("_stopped = 0").select(page)), page).drop("_key")
+    return first.join(pages.where("_stopped = 0").select(page), page).drop("_key")
 
 
 def first_page(counts: dict[int, int]) -> int:
