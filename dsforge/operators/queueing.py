@@ -23,7 +23,7 @@ def pending(queue: DataFrame, processed: DataFrame, key: str) -> DataFrame:
 
 
 def next_item(queue: DataFrame, processed: DataFrame, key: str, order: str) -> DataFrame:
-    return pending(queue, processed, key).orderBy(order).limit(1)
+    return pending(queue, processed, key).orderBy(order, key).limit(1)
 
 
 def mark_done(processed: DataFrame, ids: DataFrame, key: str) -> DataFrame:
