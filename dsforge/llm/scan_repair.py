@@ -1,7 +1,8 @@
 """Text of scanned pages repaired to readable paragraphs (problem 6).
 
 Method: an averaged perceptron edits characters. At every position of a suspicious word it chooses between keeping the character and replacing it,
-deleting it or inserting one beside it, and at a hyphenated line end between joining with and without the hyphen; an edit counts only if the result is a word of the corpus. Furniture (running
+deleting it or inserting one beside it, and at a hyphenated line end between joining with and without the hyphen; an edit counts only if it scores above keeping,
+the result is a word of the corpus, and that word is ``RATIO`` times as frequent. Furniture (running
 headers, footers, page numbers) goes by page-position features: form of a page number, place at a page's edge, likeness to the document's title or its source's owner, repetition at page tops.
 
 Training needs no labelled pairs: words are counted over the whole corpus; a rare word that one edit turns into a word at least ``RATIO`` times as frequent is an
@@ -151,7 +152,11 @@ class Editor:
             if n >= floor:
                 self.ops.setdefault(seen, []).append(meant)
         pairs = [p for p in pairs if p[1][2] in self.ops.get(p[1][1], ())]
-        keep = sorted((w for w in self.lexicon if len(w) >= 4), key=lambda w: -self.lexicon[w])[: max(500, len(pairs))]
+        # frequent words that no edit turns into a far more frequent one are right: were they rare, the edits into other words would be wrong.
+        # They teach keep, in the share they would have among as many rare words
+        sure = sorted((w for w in self.lexicon if len(w) >= 4 and self.lexicon[w] >= RATIO), key=lambda w: (-self.lexicon[w], w))[:MAX_PAIRS]
+        held = {w: [e[:3] for e in _edits(w, self.ops) if e[3] != w and self.lexicon.get(e[3], 0) >= RATIO] for w in [*sure, *(p[0] for p in pairs)]}
+        keep = [w for w in sure if held[w] and all(self.lexicon[e[3]] < RATIO * self.lexicon[w] for e in _edits(w, self.ops) if e[3] in self.lexicon)] * max(1, round(len(rare) / max(1, len(sure))))
         weights: dict[str, float] = {}
         sums: dict[str, float] = {}
         step = 0
@@ -167,12 +172,13 @@ class Editor:
             for x in order.permutation(len(items)):
                 word, gold = items[x]
                 step += 1
-                best, top = None, 0.0  # keeping every character scores 0
-                for i, seen, meant, _ in _edits(word, self.ops):
-                    s = sum(weights.get(f, 0.0) for f in self.features(word, i, seen, meant))
-                    if s > top:
-                        best, top = (i, seen, meant), s
                 want = gold[:3] if gold else None
+                # keeping every character scores 0; both ways by a margin of 1, else words that contradict each other would end above it
+                best, top = None, 1.0 if want else -1.0
+                for edit in held[word]:
+                    s = sum(weights.get(f, 0.0) for f in self.features(word, *edit))
+                    if s > top:
+                        best, top = edit, s
                 if best != want:
                     if best:
                         update(self.features(word, *best), -1.0)
@@ -201,8 +207,8 @@ class Editor:
         options = []
         for i, seen, meant, result in _edits(word, self.ops):
             m = self.lexicon.get(result, 0)
-            if m >= RATIO * n and m >= 2 * MIN_COUNT:
-                options.append((self.score(word, i, seen, meant) + 0.5 * np.log(m), m, result))
+            if m >= RATIO * n and m >= 2 * MIN_COUNT and (score := self.score(word, i, seen, meant)) > 0:  # keeping scores 0
+                options.append((score + 0.5 * np.log(m), m, result))
         if not options and digits:  # several digits for letters in one word
             result = word.replace("0", "o").replace("1", "l").replace("5", "s")
             if self.lexicon.get(result, 0) >= 2 * MIN_COUNT:
