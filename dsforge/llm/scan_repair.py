@@ -5,8 +5,8 @@ deleting it or inserting one beside it, and at a hyphenated line end between joi
 the result is a word of the corpus, and that word is ``RATIO`` times as frequent. Furniture (running
 headers, footers, page numbers) goes by page-position features: form of a page number, place at a page's edge, likeness to the document's title or its source's owner, repetition at page tops.
 
-Training needs no labelled pairs: words are counted over the whole corpus; a rare word that one edit turns into a word at least ``RATIO`` times as frequent is an
-aligned pair. At most ``MAX_PAIRS`` such pairs, drawn by hash, fit the perceptron (a bounded sample); counts cover all texts, and every text is repaired whole.
+Training needs no labelled pairs: words are counted over the whole corpus; a rare word that one edit (a replaced, lost or added letter) turns into a word at least ``RATIO`` times as
+frequent is an aligned pair; a word that no single edit repairs is edited at several places, each by a score above keeping. At most ``MAX_PAIRS`` such pairs, drawn by hash, fit the perceptron (a bounded sample); counts cover all texts, and every text is repaired whole.
 
 Scale: counting is one pass that adds up per task before one grouping by word; the lexicon is the ``MAX_WORDS`` most frequent words that occur at least ``MIN_COUNT`` times and is broadcast (bounded by that
 number). Repair is one pass without shuffle; a worker remembers the words it has met.
@@ -92,8 +92,14 @@ def _edits(word: str, ops: dict[str, list[str]]) -> Iterator[tuple[int, str, str
 
 
 def one_edit_pairs(word: str, lexicon: dict[str, int], letters: list[str]) -> list[tuple[int, str, str, str]]:
-    """Edits of one or two neighbouring characters that lead into the lexicon."""
+    """Edits of one or two neighbouring characters, with a lost or an added letter, that lead into the lexicon."""
     out = []
+    for i in range(len(word) + 1):
+        for c in letters:
+            if word[:i] + c + word[i:] in lexicon:
+                out.append((i, "", c, word[:i] + c + word[i:]))
+        if i < len(word) and word[:i] + word[i + 1 :] in lexicon:
+            out.append((i, word[i], "", word[:i] + word[i + 1 :]))
     for i in range(len(word)):
         head = word[:i]
         for k in (1, 2):
@@ -140,23 +146,31 @@ class Editor:
         letters = sorted({c for w in list(self.lexicon)[:5000] for c in w if c.isalpha()})
         pairs = []
         seen_ops: Counter = Counter()
-        for word, n in rare:
+        known = {w for w, _ in rare}  # misread words that recur are rare only beside the word meant
+        often = [(w, n) for w, n in self.lexicon.items() if w not in known]
+        for word, n in rare + often[:: 1 + len(often) // MAX_PAIRS]:
             if len(word) < 4 or not any(c.isalpha() for c in word):
                 continue
             hits = [h for h in one_edit_pairs(word, self.lexicon, letters) if self.lexicon[h[3]] >= RATIO * n]
             if hits and len({h[3] for h in hits}) == 1:
                 pairs.append((word, hits[0]))
-                seen_ops[hits[0][1:3]] += 1
+                seen_ops[hits[0][1:3]] += word in known  # true words must not make operations
         floor = max(2, sum(seen_ops.values()) // 2000)
+        sure = sorted((w for w in self.lexicon if len(w) >= 2 and self.lexicon[w] >= RATIO), key=lambda w: (-self.lexicon[w], w))[:MAX_PAIRS]
+        # an added letter that parts frequent words about as often as rare ones is a matter of grammar
+        alone: dict[str, list[str]] = {}
+        for seen, meant in seen_ops:
+            if not meant:
+                alone.setdefault(seen, []).append(meant)
+        true = Counter(op for w in sure for op in {e[1:3] for e in _edits(w, alone) if e[3] in self.lexicon})
         for (seen, meant), n in seen_ops.items():
-            if n >= floor:
+            if n >= floor and (meant or n * len(sure) >= 2 * true[seen, meant] * len(rare)):
                 self.ops.setdefault(seen, []).append(meant)
         pairs = [p for p in pairs if p[1][2] in self.ops.get(p[1][1], ())]
         # frequent words that no edit turns into a far more frequent one are right: were they rare, the edits into other words would be wrong.
         # They teach keep, in the share they would have among as many rare words
-        sure = sorted((w for w in self.lexicon if len(w) >= 4 and self.lexicon[w] >= RATIO), key=lambda w: (-self.lexicon[w], w))[:MAX_PAIRS]
-        held = {w: [e[:3] for e in _edits(w, self.ops) if e[3] != w and self.lexicon.get(e[3], 0) >= RATIO] for w in [*sure, *(p[0] for p in pairs)]}
-        keep = [w for w in sure if held[w] and all(self.lexicon[e[3]] < RATIO * self.lexicon[w] for e in _edits(w, self.ops) if e[3] in self.lexicon)] * max(1, round(len(rare) / max(1, len(sure))))
+        held = {w: [e for e in _edits(w, self.ops) if e[3] != w and self.lexicon.get(e[3], 0) >= RATIO] for w in [*sure, *(p[0] for p in pairs)]}
+        keep = [w for w in sure if held[w] and all(self.lexicon[e[3]] <= self.lexicon[w] for e in held[w])] * max(1, round(len(rare) / max(1, len(sure))))
         weights: dict[str, float] = {}
         sums: dict[str, float] = {}
         step = 0
@@ -172,18 +186,18 @@ class Editor:
             for x in order.permutation(len(items)):
                 word, gold = items[x]
                 step += 1
-                want = gold[:3] if gold else None
                 # keeping every character scores 0; both ways by a margin of 1, else words that contradict each other would end above it
-                best, top = None, 1.0 if want else -1.0
+                best, top = None, 1.0 if gold else -1.0
                 for edit in held[word]:
-                    s = sum(weights.get(f, 0.0) for f in self.features(word, *edit))
+                    s = sum(weights.get(f, 0.0) for f in self.features(word, *edit[:3]))
                     if s > top:
                         best, top = edit, s
-                if best != want:
+                # edits at several places may give the same word, as in doubled letters
+                if (best and best[3]) != (gold and gold[3]):
                     if best:
-                        update(self.features(word, *best), -1.0)
-                    if want:
-                        update(self.features(word, *want), 1.0)
+                        update(self.features(word, *best[:3]), -1.0)
+                    if gold:
+                        update(self.features(word, *gold[:3]), 1.0)
         self.weights = {f: w - sums[f] / max(1, step) for f, w in weights.items()}
         return self
 
@@ -209,6 +223,8 @@ class Editor:
             m = self.lexicon.get(result, 0)
             if m >= RATIO * n and m >= 2 * MIN_COUNT and (score := self.score(word, i, seen, meant)) > 0:  # keeping scores 0
                 options.append((score + 0.5 * np.log(m), m, result))
+        if not options and n < MIN_COUNT:
+            options = self._several(word, n)
         if not options and digits:  # several digits for letters in one word
             result = word.replace("0", "o").replace("1", "l").replace("5", "s")
             if self.lexicon.get(result, 0) >= 2 * MIN_COUNT:
@@ -219,6 +235,22 @@ class Editor:
             return None
         return max(options, key=lambda o: (o[0], o[1], [-ord(c) for c in o[2]]))[2]
 
+    def _several(self, word: str, n: int) -> list[tuple[float, int, str]]:
+        """Words that several edits lead to, at later and later places, each of which beats keeping; one edit for three characters at most, the fewest that do."""
+        reached = {(word, 0): 0.0}
+        for k in range(len(word) // 3):
+            after: dict[tuple[str, int], float] = {}
+            for (now, start), total in reached.items():
+                for i, seen, meant, result in _edits(now, self.ops):
+                    if i >= start and (score := self.score(now, i, seen, meant)) > 0:
+                        at = (result, i + max(1, len(meant)))
+                        after[at] = max(after.get(at, 0.0), total + score)
+            reached = after
+            options = [(score + 0.5 * np.log(m), m, result) for (result, _), score in reached.items() if (m := self.lexicon.get(result, 0)) >= RATIO * n and m >= 2 * MIN_COUNT]
+            if k and options:
+                return options
+        return []
+
     def word(self, core: str) -> str | None:
         """The word meant instead of a whole word in lower case, or None to keep it."""
         if core in self.known:

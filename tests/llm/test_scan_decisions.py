@@ -16,3 +16,15 @@ def test_keep_beats_edits_between_true_words():
     assert "o" in editor.ops["i"]
     assert [editor.part(w) for w, _ in misread] == [w.replace("rn", "m") for w, _ in misread]
     assert [editor.part(w) for w, _ in true] == [None] * len(true)
+
+
+def test_lost_and_added_letters_and_two_faults():
+    lexicon = {f"{h}mond": 500 for h in HEADS}
+    lost, added = [(f"{h}mnd", 1) for h in HEADS[:12]], [(f"{h}moond", 1) for h in HEADS[12:24]]
+    misread = [(f"{h}rnond", 1) for h in HEADS[24:]]
+    editor = Editor(lexicon).fit(lost + added + misread)
+    assert editor.ops[""] == ["o"] and editor.ops["o"] == [""]
+    for words, seen in ((lost, "mnd"), (added, "moond"), (misread, "rnond")):
+        assert [editor.part(w) for w, _ in words] == [w.replace(seen, "mond") for w, _ in words]
+    assert editor.part("babarnnd") == "babamond"  # a misread and a lost letter
+    assert editor.part("fafbond") is None
