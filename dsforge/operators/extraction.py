@@ -61,10 +61,10 @@ class RetryingExtractor:
         raise RuntimeError("no try was made")
 
 
-def extract(df: DataFrame, codebook: Codebook, extractor: Extractor, key: str, text: str, max_chars: int = 24_000) -> DataFrame:
+def extract(df: DataFrame, codebook: Codebook, extractor: Extractor, key: str, text: str, max_chars: int | None = None) -> DataFrame:
     """(key, variables, _warnings, _error): one typed row per text; a failed answer is a row of nulls with its error and raw answer cut to 2000 characters.
 
-    Columns the extractor doesn't need never reach Python.
+    Columns the extractor doesn't need never reach Python. Texts go in whole; ``max_chars`` cuts them for extractors with a context limit.
     """
     kind = df.schema[key].dataType.simpleString()
     names = [v.name for v in codebook.variables]
@@ -87,7 +87,7 @@ def extract(df: DataFrame, codebook: Codebook, extractor: Extractor, key: str, t
                 rows.append((k, {n: loose[n] for n in names if loose.get(n) is not None}, error))
             yield pd.DataFrame(rows, columns=["_k", "_v", "_error"])
 
-    texts = df.select(F.col(key).alias("_k"), truncate(F.col(text), max_chars).alias("_t"))
+    texts = df.select(F.col(key).alias("_k"), (F.col(text) if max_chars is None else truncate(F.col(text), max_chars)).alias("_t"))
     loose = texts.mapInPandas(run, f"_k {kind}, _v map<string,string>, _error string")
     wide = loose.select(F.col("_k").alias(key), "_error", *[F.try_element_at("_v", F.lit(n)).alias(n) for n in names])
     return coerce_row(wide, codebook, keep=[key, "_error"])

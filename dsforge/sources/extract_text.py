@@ -22,7 +22,7 @@ KINDS = {
     ".pdf": "pdf", ".docx": "docx", ".pptx": "pptx", ".xlsx": "xlsx", ".xls": "xlsx", ".odt": "odt", ".rtf": "rtf", ".epub": "epub", ".html": "html", ".htm": "html", ".xhtml": "html", ".xml": "xml", ".svg": "xml",
     ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".csv": "csv", ".tsv": "tsv", ".toml": "toml", ".yaml": "yaml", ".yml": "yaml", ".zip": "zip", ".tar": "tar",
 }
-MAX_ROWS, MAX_SHEET_ROWS, MAX_OBJECTS, MAX_DEPTH = 500, 200, 200, 8
+MAX_DEPTH = 8
 
 
 def decode(data: bytes) -> str:
@@ -62,9 +62,7 @@ def _markup(text: str) -> str:
 
 
 def _table(text: str, separator: str) -> str:
-    rows = list(csv.reader(io.StringIO(text), delimiter=separator))
-    out = ["\t".join(r) for r in rows[:MAX_ROWS]]
-    return "\n".join([*out, f"[{len(rows) - MAX_ROWS} more rows]"] if len(rows) > MAX_ROWS else out)
+    return "\n".join("\t".join(r) for r in csv.reader(io.StringIO(text), delimiter=separator))
 
 
 def _zipped(data: bytes, pattern: str) -> str:
@@ -82,11 +80,8 @@ def _library(kind: str, data: bytes) -> str:
 
         out = []
         for sheet in load_workbook(io.BytesIO(data), read_only=True, data_only=True):
-            rows = list(sheet.iter_rows(values_only=True))
             out.append(f"# {sheet.title}")
-            out += ["\t".join("" if c is None else str(c) for c in r) for r in rows[:MAX_SHEET_ROWS]]
-            if len(rows) > MAX_SHEET_ROWS:
-                out.append(f"[{len(rows) - MAX_SHEET_ROWS} more rows]")
+            out += ["\t".join("" if c is None else str(c) for c in r) for r in sheet.iter_rows(values_only=True)]
         return "\n".join(out)
     if kind == "yaml":
         import yaml
@@ -109,7 +104,7 @@ def extract_text(path: str, data: bytes, depth: int = 0) -> str:
             return json.dumps(json.loads(decode(data)), ensure_ascii=False, indent=2)
         if kind == "jsonl":
             lines = [x for x in decode(data).splitlines() if x.strip()]
-            return "\n".join(json.dumps(json.loads(x), ensure_ascii=False) for x in lines[:MAX_OBJECTS])
+            return "\n".join(json.dumps(json.loads(x), ensure_ascii=False) for x in lines)
         if kind in ("csv", "tsv"):
             return _table(decode(data), "\t" if kind == "tsv" else ",")
         if kind == "toml":
