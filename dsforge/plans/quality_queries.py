@@ -11,6 +11,7 @@ from dsforge.session import table
 
 COLUMNS = ["name", "country_code", "case_ref", "sector", "status_code", "amount_eur", "n_persons", "pct_fill", "is_public", "has_appeal", "decided_on"]
 COMPARED = ["country_code", "sector", "status_code", "amount_eur", "n_persons", "pct_fill", "is_public", "has_appeal"]
+NUMBERS = ["amount_eur", "n_persons", "pct_fill"]
 PATTERNS = ["country_code", "case_ref", "status_code", "decided_on"]
 
 
@@ -21,26 +22,29 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _range_sql(c: str) -> str:
+    number, text = f"min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value", f"min(CASE WHEN {c}::VARCHAR <> '' THEN {c}::VARCHAR END) AS min_text, max({c}::VARCHAR) AS max_text"
+    none = "NULL::DOUBLE AS min_value, NULL::DOUBLE AS max_value, " + text
+    return number + ", NULL::VARCHAR AS min_text, NULL::VARCHAR AS max_text" if c in NUMBERS else none
+
+
 @query(
     " UNION ALL ".join(
         f"""SELECT load_no, '{c}' AS column_name, count(*) AS n_rows, sum(CASE WHEN {c} IS NOT NULL AND CAST({c} AS VARCHAR) <> '' THEN 1 ELSE 0 END)::BIGINT AS n_present,
-        count(DISTINCT CASE WHEN CAST({c} AS VARCHAR) <> '' THEN {c} END) AS n_unique FROM extracted WHERE load_no IS NOT NULL GROUP BY load_no"""
+        count(DISTINCT CASE WHEN CAST({c} AS VARCHAR) <> '' THEN {c} END) AS n_unique, {_range_sql(c)} FROM extracted WHERE load_no IS NOT NULL GROUP BY load_no"""
         for c in COLUMNS
     )
 )
 def p2_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_form = quality_profile.forms(quality_profile.long_values(table(spark, sf_dir, "extracted"), "load_no", COLUMNS), [])
-    return quality_profile.profile(by_form).select(F.col("_load").alias("load_no"), F.col("_column").alias("column_name"), "n_rows", "n_present", "n_unique")
+    counts = quality_profile.value_counts(quality_profile.long_values(table(spark, sf_dir, "extracted"), "load_no", COLUMNS))
+    return quality_profile.profile(counts, NUMBERS).drop("n_not_null").withColumnsRenamed({"_load": "load_no", "_column": "column_name"})
 
 
 @query()
 def p2_two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well each load is told from the others, by all compared columns, by one alone, and without it."""
-    df, bounds = table(spark, sf_dir, "extracted"), table(spark, sf_dir, "variable_spec")
-    by_form = quality_profile.forms(quality_profile.long_values(df, "load_no", COLUMNS, bounds, "collection"), PATTERNS)
-    codes, sizes = quality_profile._codes(df, "load_no", "ex_no", COMPARED, quality_profile.usual_forms(by_form), PATTERNS, bounds, "collection")
-    rows = [(a, b, c, float(d), float(e), float(f)) for a, b, c, d, e, f in quality_profile.two_sample_test(codes, sizes, COMPARED)]
-    return spark.createDataFrame(rows, "load_no int, column_name string, n_values long, area_alone double, area_all double, area_without double")
+    rows = quality_profile.compare_loads(table(spark, sf_dir, "extracted"), COMPARED, PATTERNS, table(spark, sf_dir, "variable_spec"))
+    return spark.createDataFrame(rows, "load_no int, column_name string, n_values long, area_alone double, area_all double, area_without double, gain double")
 
 
 @query()

@@ -58,24 +58,60 @@ def loads(faults: dict, n: int = 300, k: int = 8):
     return rows
 
 
+def faults(df, reports=None, patterns=("code",), bounds=None, group_col=None, **more):
+    return {tuple(r) for r in Q.find_faults(df, reports, COLUMNS, COMPARED, list(patterns), ["ref"], bounds, item_col="ex_no", group_col=group_col, **more).collect()}
+
+
 def test_planted_faults(spark):
-    faults = {
+    planted = {
         2: lambda r, i: {"x": None} if i % 3 == 0 else {}, 3: lambda r, i: {"code": r["code"] and r["code"].lower()} if i % 4 == 0 else {}, 4: lambda r, i: {"ref": f"R-{9000 + i % 50}"}, 5: lambda r, i: {"x": 500.0} if i == 7 else {},
         6: lambda r, i: {"code": "CC"} if i % 2 else {}, 7: lambda r, i: {"flag": True} if i % 2 else {},
     }
-    df = spark.createDataFrame(loads(faults), SCHEMA)
+    df = spark.createDataFrame(loads(planted), SCHEMA)
     bounds = spark.createDataFrame([("g", "x", 0.0, 100.0), ("g", "code", None, None)], "g string, name string, min_value double, max_value double")
     present = df.where("load_no = 8").agg(F.count("code")).first()[0]
     reports = spark.createDataFrame([(8, "code", present + 1, (present + 1) / 300), (1, "x", None, None), (8, "flag", None, None)], "load_no int, column_name string, n_non_null long, coverage double")
-    got = {tuple(r) for r in Q.find_faults(df, reports, COLUMNS, COMPARED, ["code", "ref"], ["ref"], bounds, group_col="g").collect()}
+    got = faults(df, reports, ["code", "ref"], bounds, "g")
     assert got == {(2, "x", "nulls"), (3, "code", "pattern"), (4, "ref", "distinct"), (5, "x", "range"), (6, "code", "distribution"), (7, "flag", "distribution"), (8, "code", "reported")}
+    # without the regression nothing tells the loads apart
+    assert faults(df, None, ["code", "ref"], bounds, "g", steps=0) == {x for x in got if x[2] not in ("distribution", "reported")}
+
+
+def test_a_single_odd_value_counts(spark):
+    df = spark.createDataFrame(loads({3: lambda r, i: {"code": "A?"} if i == 5 else {}}), SCHEMA)
+    assert faults(df) == {(3, "code", "pattern")}
+
+
+def test_joint_weights_blame_the_column_that_changed(spark):
+    """The flag follows the code in every load; only the code's spread changes, so the flag's does too, but it says nothing more once the code is known."""
+
+    def follow(share):
+        rnd = random.Random(3)
+
+        def fill(r, i):
+            code = "CC" if rnd.random() < share else rnd.choice(["AA", "BB"])
+            return {"code": code, "flag": (code == "CC") != (rnd.random() < 0.1)}
+
+        return fill
+
+    df = spark.createDataFrame(loads({k: follow(0.8 if k == 5 else 0.2) for k in range(1, 9)}, n=1200), SCHEMA)
+    assert faults(df) == {(5, "code", "distribution")}
+
+
+def test_change_among_rare_values_is_seen(spark):
+    """Values beyond the most frequent ones have bins of their own by hash."""
+    rnd = random.Random(4)
+    many = [f"V{i:03d}" for i in range(400)]
+    df = spark.createDataFrame(loads({k: lambda r, i, k=k: {"code": rnd.choice(many[:12] if k == 6 else many)} for k in range(1, 9)}, n=900), SCHEMA)
+    assert faults(df) == {(6, "code", "distribution")}
 
 
 def test_profile_edges(spark):
     df = spark.createDataFrame(loads({}, n=40, k=2), SCHEMA)
-    assert Q.find_faults(df, None, COLUMNS, COMPARED, ["code"], ["ref"], None, group_col=None).count() == 0  # two loads are too few to compare
-    empty = df.where("false")
-    assert Q.find_faults(empty, None, COLUMNS, COMPARED, ["code"], ["ref"], None, group_col=None).count() == 0
+    assert faults(df) == set()  # two loads are too few to compare
+    assert faults(df.where("false")) == set()
     gone = spark.createDataFrame(loads({3: lambda r, i: {"code": None, "x": None, "flag": None, "ref": None}}), SCHEMA)
-    got = {tuple(r) for r in Q.find_faults(gone, None, COLUMNS, COMPARED, ["code"], ["ref"], None, group_col=None).collect()}
-    assert got == {(3, c, "nulls") for c in COLUMNS}
+    assert faults(gone) == {(3, c, "nulls") for c in COLUMNS}
+    odd = "Ab 9é٣Ǆ\u00a0\t x"
+    one = spark.createDataFrame([(odd,)], "v string").select(Q.form(F.col("v")).alias("f")).first().f
+    assert one == Q.form_of(odd)
