@@ -15,13 +15,16 @@ def hot_threshold(total_rows: int) -> int:
     return max(HOT_ROWS, -(-total_rows // HOT_SHARE))
 
 
-def salted_lookup(big: DataFrame, keys: DataFrame, key: str, weight: str, total_rows: int, spread_by: str, threshold: int | None = None) -> DataFrame:
+def salted_lookup(big: DataFrame, keys: DataFrame, key: str, weight: str, total_rows: int, spread_by: str, threshold: int | None = None, heaviest: int | None = None) -> DataFrame:
     """Inner join of ``big`` to ``keys``, in which ``key`` is unique and ``weight`` counts its rows in ``big``.
 
     Keys of at least ``hot_threshold(total_rows)`` rows are at most ``HOT_SHARE`` in number, so their list is broadcast; their rows
-    get a salt from ``spread_by`` and their single row in ``keys`` is repeated once for each salt. All rows are kept.
+    get a salt from ``spread_by`` and their single row in ``keys`` is repeated once for each salt. All rows are kept. Who knows the greatest weight gives it as
+    ``heaviest``: without a hot key the join is a plain one.
     """
     at = hot_threshold(total_rows) if threshold is None else threshold
+    if heaviest is not None and heaviest < at:
+        return big.join(keys, key)
     ways = max(2, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     hot = keys.filter(F.col(weight) >= at).select(F.col(key).alias("_hot"))
     salted = big.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn(

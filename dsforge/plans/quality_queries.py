@@ -23,7 +23,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _range_sql(c: str) -> str:
-    number, text = f"min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value", f"min(CASE WHEN {c}::VARCHAR <> '' THEN {c}::VARCHAR END) AS min_text, max({c}::VARCHAR) AS max_text"
+    number, text = f"min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value", f"min(CASE WHEN {c}::VARCHAR <> '' THEN {c}::VARCHAR END) AS min_text, max(CASE WHEN {c}::VARCHAR <> '' THEN {c}::VARCHAR END) AS max_text"
     none = "NULL::DOUBLE AS min_value, NULL::DOUBLE AS max_value, " + text
     return number + ", NULL::VARCHAR AS min_text, NULL::VARCHAR AS max_text" if c in NUMBERS else none
 
