@@ -88,11 +88,16 @@ def _plain(c: str) -> str:
     return f"regexp_replace(lower({c}), '[\\p{{P}}\\p{{Z}}\\s\\p{{C}}$+<=>^`|~]+', '', 'g')"
 
 
+_PARAMS = "string_split(replace(substr(detail_url, strpos(detail_url, '?') + 1), ';', '&'), '&')"
+_PARAM = f"CASE WHEN strpos(x, '=') > 0 THEN {_plain("substr(x, 1, strpos(x, '=') - 1)")} || '=' || {_plain("substr(x, strpos(x, '=') + 1)")} ELSE {_plain('x')} END"
+_VALUE = "json_extract(lower(extra), '$.\"' || k || '\"')"
+# strings of one level are made canonical, other values keep their text
+_PAIR = f"""'"' || {_plain('k')} || '":' || CASE json_type({_VALUE}) WHEN 'VARCHAR' THEN '"' || {_plain(f"({_VALUE} ->> '$')")} || '"' ELSE CAST({_VALUE} AS VARCHAR) END"""
 _CANONICAL = f"""c AS (SELECT row_no, id, detail_url, title, extra, {_plain('id')} AS k1, {_plain('title')} AS k2,
  CASE WHEN strpos(detail_url, '?') > 0 THEN {_plain("substr(detail_url, 1, strpos(detail_url, '?') - 1)")} || coalesce('?' || nullif(array_to_string(list_sort(list_filter(list_transform(
- string_split(replace(substr(detail_url, strpos(detail_url, '?') + 1), ';', '&'), '&'), lambda x : {_plain('x')}), lambda x : x <> '')), '&'), ''), '') ELSE {_plain('detail_url')} END AS k3,
- CASE WHEN extra IS NULL THEN NULL WHEN json_valid(extra) THEN array_to_string(list_sort(list_transform(json_keys(lower(extra)), lambda k : {_plain('k')} || ':' || {_plain("json_extract_string(lower(extra), '$.' || k)")})), ',')
- ELSE {_plain('extra')} END AS k4 FROM dataset)"""
+ {_PARAMS}, lambda x : {_PARAM}), lambda x : x NOT IN ('', '='))), '&'), ''), '') ELSE {_plain('detail_url')} END AS k3,
+ CASE WHEN extra IS NULL THEN NULL WHEN json_valid(extra) THEN array_to_string(list_sort(list_transform(json_keys(lower(extra)), lambda k : {_PAIR})), ',')
+ ELSE 'text:' || {_plain('extra')} END AS k4 FROM dataset)"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -58,18 +58,43 @@ def brute(row):
     import json
 
     plain = lambda s: None if s is None else re.sub(r"[\W_]+", "", s.lower())
+
+    def canon(v):
+        if isinstance(v, dict):
+            return ("object", sorted((plain(k), canon(x)) for k, x in v.items()))
+        return ("list", [canon(x) for x in v]) if isinstance(v, list) else ("string", plain(v)) if isinstance(v, str) else (type(v).__name__, v)
+
     _, i, url, title, extra = row
     if url is not None:
         path, _, q = url.partition("?")
-        url = plain(path) + "?" + "&".join(sorted(plain(p) for p in q.split("&") if plain(p)))
+        params = ["=".join(plain(x) for x in p.split("=", 1)) for p in q.split("&")]
+        url = plain(path) + "?" + "&".join(sorted(p for p in params if p not in ("", "=")))
     if extra is not None:
         try:
-            extra = plain(json.dumps(json.loads(extra.lower()), sort_keys=True, ensure_ascii=False))
+            extra = repr(canon(json.loads(extra.lower())))
         except ValueError:
             extra = plain(extra)
     return plain(i), url, plain(title), extra
 
 
+@pytest.mark.parametrize(("a", "b"), [
+    ('{"amount":1.5}', '{"amount":15}'), ('{"x":-3}', '{"x":3}'), ('{"a":"bc"}', '{"ab":"c"}'), ('{"a":"1","b":"2"}', '{"a":"1b2"}'), ('{"a":null}', '{"a":"null"}'),
+    ('{"a":[1,2]}', '{"a":[12]}'), ('{"a":1}', '{"a":"1"}'), ('{"a":{"b":1}}', '{"ab":1}'), ('{"a":true}', '{"a":"true"}'), ('{"a":"x"}', "a x"),
+])
+def test_json_of_different_content_stays_apart(spark, a, b):
+    df = spark.createDataFrame([(1, "i", "u", "t", a), (2, "i", "u", "t", b)], "row_no long, id string, detail_url string, title string, extra string")
+    assert dedupe.copies(df).count() == 0
+
+
+@pytest.mark.parametrize(("a", "b"), [
+    ('{"Case Ref": "A-1\\n", "b": [1, {"y": 2, "x": "É"}]}', '{"b":[1,{"x":"\\u00c9","y":2}],"caseref":"a 1"}'), ('{"a b": 1, "aa": 2}', '{"ab":1,"aa":2}'), ('{"q": "say \\"hi\\" \\\\"}', '{"q":"say hi"}'), ("[1, TRUE]", "[1,true]"),
+    ("plain, text", "Plain text"), ("", " "),
+])
+def test_json_of_the_same_content_meets(spark, a, b):
+    df = spark.createDataFrame([(1, "i", "u", "t", a), (2, "i", "u", "t", b)], "row_no long, id string, detail_url string, title string, extra string")
+    assert [tuple(r) for r in dedupe.copies(df).select("keep_no", "copy_no").collect()] == [(1, 2)]
+
+
 def test_dedupe_equals_brute_force(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/dataset.parquet")
     first, want = {}, set()
@@ -94,6 +119,17 @@ def test_dedupe_edges(spark):
     assert dedupe.copies(df.where("false")).count() == 0
 
 
+def test_hot_groups_are_salted_and_whole(spark, monkeypatch):
+    from dsforge.operators import skew
+
+    rows = [(i, "A-1" if i % 3 else f"a{'.' * (i % 7)}1", "u", "t", None) for i in range(300)] + [(300 + i, f"x{i}", "u", "t", None) for i in range(100)]
+    df = spark.createDataFrame(rows, "row_no long, id string, detail_url string, title string, extra string")
+    want = {(0, i) for i in range(1, 300)}
+    assert {(r.keep_no, r.copy_no) for r in dedupe.copies(df).collect()} == want
+    monkeypatch.setattr(skew, "HOT_ROWS", 3)
+    assert {(r.keep_no, r.copy_no) for r in dedupe.copies(df).collect()} == want
+
+
 # ---- leaks of test items
 
 
