@@ -161,13 +161,13 @@ def coerce(c: Column, var: VariableSpec, kind: str = "string") -> Column:
     if var.type == "boolean":
         return to_boolean(c, kind)
     if var.type == "integer":
-        return bounded(to_integer(c, kind), var.min, var.max)
+        return bounded(to_integer(c, kind), var.min_value, var.max_value)
     if var.type == "float":
-        return bounded(to_float(c, kind), var.min, var.max)
+        return bounded(to_float(c, kind), var.min_value, var.max_value)
     if var.type == "date":
         return to_date_text(c)
     if var.type == "enum":
-        return to_enum(c, var.enum_values, kind)
+        return to_enum(c, var.enum_values or [], kind)
     if var.type == "array":
         return to_array(c, kind)
     return to_text(c)

@@ -85,6 +85,22 @@ def closed(text: str) -> str:
     return re.sub(r"[,:]\s*$", "", text + ('"' if quoted else "")) + "".join(reversed(stack))
 
 
+_STRING = re.compile(r"""("(?:\\.|[^"\\])*")|'((?:\\.|[^'\\])*)'|\b(True|False|None)\b""", re.S)
+# Python's words for JSON's.
+_WORDS = {"True": "true", "False": "false", "None": "null"}
+
+
+def double_quoted(text: str) -> str:
+    """Strings in single quotes as JSON strings and Python's words as JSON's, wherever they stand outside other strings."""
+
+    def swap(m: re.Match) -> str:
+        if m[1]:
+            return m[1]
+        return _WORDS[m[3]] if m[3] else '"' + re.sub(r'(?<!\\)"', r'\"', m[2].replace("\\'", "'")) + '"'
+
+    return _STRING.sub(swap, text)
+
+
 def loads(text: str):
     """The value of a text that is JSON after some repair, else None."""
     for repair in (str, without_trailing_commas, with_valid_escapes, lambda x: without_trailing_commas(with_valid_escapes(x))):
@@ -92,6 +108,11 @@ def loads(text: str):
             return json.loads(repair(text))
         except ValueError:
             pass
+    for repair in (double_quoted, lambda x: without_trailing_commas(with_valid_escapes(double_quoted(x)))):
+        try:
+            return json.loads(repair(text))
+        except ValueError:
+            pass
     try:
         value = ast.literal_eval(text)
         if isinstance(value, (dict, list)):
@@ -100,6 +121,10 @@ def loads(text: str):
         pass
     try:
         return json.loads(without_trailing_commas(closed(text)))
+    except ValueError:
+        pass
+    try:
+        return json.loads(without_trailing_commas(closed(double_quoted(text))))
     except ValueError:
         return None
 

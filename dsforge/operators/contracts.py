@@ -8,15 +8,22 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+# What may stand before and after a noun that counts something.
+COUNT_BEFORE = ["n", "num", "number_of", "nb"]
+COUNT_AFTER = ["count", "total", "num", "number"]
+_BARE = re.compile(r"^(?:n|num|number_of|nb|count_of|amount_of)_|_(?:count|total|amount|num|number)$")
 
 
 def field_variants(name: str) -> list[str]:
-    """Names that a field may go by, in fixed order: exact, snake case, bare noun, with count prefixes, with count suffixes."""
-    snake = re.sub(r"\W+", "_", name.strip().lower()).strip("_")
-    bare = re.sub(r"_(?:count|total|amount|num|number)$", "", re.sub(r"^(?:n|num|number_of|nb|count_of|amount_of)_", "", snake)).strip("_") or snake
-    stems = list(dict.fromkeys([snake, bare]))
-    made = [name.strip(), *stems, *[f"{p}_{s}" for p in ("n", "num", "number_of", "nb") for s in stems], *[f"{s}_{p}" for p in ("count", "total", "num", "number") for s in stems]]
-    return [v for v in dict.fromkeys(made) if v]
+    """Names that a field may go by, in fixed order: as given, in snake case, as a bare noun, and the last two with every count word before or after."""
+    given = name.strip()
+    snake = re.sub(r"\W+", "_", given.lower()).strip("_")
+    nouns = [snake, _BARE.sub("", snake).strip("_") or snake]
+    shapes = ["{}", *[p + "_{}" for p in COUNT_BEFORE], *["{}_" + p for p in COUNT_AFTER]]
+    return list(dict.fromkeys(v for v in [given, *(shape.format(n) for shape in shapes for n in nouns)] if v))
 
 
 def meaningful(c: Column, kind: str = "string") -> Column:
@@ -135,43 +142,61 @@ class ContractBook:
         return all(ok for _, ok, _ in self.check(df))
 
 
-def low_cardinality(df: DataFrame, fields: list[str], order: str, least_rows: int = 10, share: float = 0.6, longest: int = 80) -> DataFrame:
-    """(field, mode, n_mode, n_populated) of required fields whose most frequent value fills most rows; of equally frequent ones the first seen."""
-    values = [F.struct(F.lit(f).alias("f"), F.coalesce(*[F.when(meaningful(F.col(f"`{v}`"), k), F.substring(F.col(f"`{v}`").cast("string"), 1, 120)) for v in field_variants(f) for n, k in df.dtypes if n == v], F.lit(None).cast("string")).alias("v")) for f in fields]
+def low_cardinality(df: DataFrame, fields: list[str], order: str, least_rows: int = 10, share: float = 0.6, longest: int = 80, compared: int | None = None) -> DataFrame:
+    """(field, mode, n_mode, n_populated) of required fields whose most frequent value fills most rows; of equally frequent ones the first seen. Values are compared whole, or by their first ``compared`` characters."""
+    text = lambda v: F.col(f"`{v}`").cast("string") if compared is None else F.substring(F.col(f"`{v}`").cast("string"), 1, compared)
+    values = [F.struct(F.lit(f).alias("f"), F.coalesce(*[F.when(meaningful(F.col(f"`{v}`"), k), text(v)) for v in field_variants(f) for n, k in df.dtypes if n == v], F.lit(None).cast("string")).alias("v")) for f in fields]
     long = df.select(F.col(order).alias("_o"), F.explode(F.array(*values)).alias("x")).select("_o", F.col("x.f").alias("field"), F.col("x.v").alias("value")).where("value is not null")
     by_value = long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"), F.min("_o").alias("first"))
     top = by_value.groupBy("field").agg(F.max_by("value", F.struct("n", -F.col("first"))).alias("mode"), F.max("n").alias("n_mode"), F.sum("n").alias("n_populated"))
     return top.where((F.col("n_populated") >= least_rows) & (F.col("n_mode") >= share * F.col("n_populated")) & (F.length("mode") <= longest))
 
 
-def violation(schema: dict, c: Column, kind: str, path: str = "$") -> Column:
-    """The first violation of a JSON Schema by a column, as text, or null: object, required, properties, array, items, types and enums."""
+def _json_kind(kind: T.DataType) -> str:
+    if isinstance(kind, T.BooleanType):
+        return "boolean"
+    if isinstance(kind, T.IntegralType):
+        return "integer"
+    if isinstance(kind, T.NumericType):
+        return "number"
+    return "array" if isinstance(kind, T.ArrayType) else "object" if isinstance(kind, (T.StructType, T.MapType)) else "string"
+
+
+def violation(schema: dict, c: Column, kind: T.DataType, path: Column) -> Column:
+    """The first violation of a JSON Schema by a column, as text, or null: types, enums, objects with their required and other properties, arrays with their items, at every depth."""
+    said = lambda x: F.concat(path, F.lit(x))
     types = schema.get("type")
     types = [types] if isinstance(types, str) else types
-    json_kind = {"string": "string", "boolean": "boolean", "int": "integer", "bigint": "integer", "double": "number", "float": "number"}.get(kind, "array" if kind.startswith("array") else "object" if kind.startswith("struct") else "string")
-    checks: list[Column] = []
+    own = _json_kind(kind)
+    checks: list[Column] = [F.lit(None).cast("string")]
     if types:
-        fits = json_kind in types or (json_kind in ("integer", "boolean") and ("number" in types or "integer" in types))
-        wrong = F.lit(f"{path}: expected {'/'.join(types)}, got {json_kind}")
-        checks.append(F.when(c.isNull(), F.lit(None) if "null" in types else F.lit(f"{path}: expected {'/'.join(types)}, got null")).otherwise(F.lit(None).cast("string") if fits else wrong))
+        fits = own in types or (own in ("integer", "boolean") and ("number" in types or "integer" in types))
+        null = F.lit(None).cast("string") if "null" in types else said(f": expected {'/'.join(types)}, got null")
+        checks.append(F.when(c.isNull(), null).otherwise(F.lit(None).cast("string") if fits else said(f": expected {'/'.join(types)}, got {own}")))
     if "enum" in schema:
-        allowed = [v for v in schema["enum"] if v is not None]
-        checks.append(F.when(c.isNotNull() & ~c.cast("string").isin(*[str(v) for v in allowed]), F.lit(f"{path}: not one of the allowed values")))
-    return F.coalesce(*checks, F.lit(None).cast("string"))
+        allowed = [str(v) for v in schema["enum"] if v is not None]
+        checks.append(F.when(c.isNotNull() & ~c.cast("string").isin(*allowed), said(": not one of the allowed values")))
+    if isinstance(kind, T.StructType) and (not types or "object" in types):
+        held = {f.name: f.dataType for f in kind}
+        for r in schema.get("required", []):
+            checks.append(F.when(c.isNotNull() & c[r].isNull(), said(f".{r}: required")) if r in held else F.when(c.isNotNull(), said(f".{r}: required")))
+        for name, sub in schema.get("properties", {}).items():
+            if name in held:  # a property of null is skipped
+                checks.append(F.when(c[name].isNotNull(), violation(sub, c[name], held[name], said(f".{name}"))))
+    if isinstance(kind, T.ArrayType) and schema.get("items") and (not types or "array" in types):
+        found = F.transform(c, lambda x, i: violation(schema["items"], x, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+        checks.append(F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0)))
+    return F.coalesce(*checks)
 
 
 def row_violation(schema: dict, df: DataFrame) -> Column:
     """The first violation by a row: required columns first, then properties in the schema's order; a property of null is skipped."""
-    kinds = dict(df.dtypes)
+    kinds = {f.name: f.dataType for f in df.schema}
     checks = [F.when(F.col(f"`{r}`").isNull(), F.lit(f"$.{r}: required")) if r in kinds else F.lit(f"$.{r}: required") for r in schema.get("required", [])]
     for name, sub in schema.get("properties", {}).items():
         if name in kinds:
             c = F.col(f"`{name}`")
-            checks.append(F.when(c.isNotNull(), violation(sub, c, kinds[name], f"$.{name}")))
-            if kinds[name].startswith("array") and sub.get("items", {}).get("enum"):
-                allowed = [str(v) for v in sub["items"]["enum"] if v is not None]
-                bad = F.array_position(F.transform(c, lambda x: ~x.cast("string").isin(*allowed)), True)
-                checks.append(F.when(bad > 0, F.concat(F.lit(f"$.{name}["), (bad - 1).cast("string"), F.lit("]: not one of the allowed values"))))
+            checks.append(F.when(c.isNotNull(), violation(sub, c, kinds[name], F.lit(f"$.{name}"))))
     return F.coalesce(*checks, F.lit(None).cast("string"))
 
 

@@ -9,24 +9,25 @@ from pyspark.sql import functions as F
 CHROME = ["nav", "btn", "button", "header", "footer", "breadcrumb", "menu", "language", "search-bar", "form-", "carousel", "logo"]
 # Data files by extension, with the score of their kind.
 ASSETS = {".pdf": 90, ".xml": 80, ".json": 80, ".csv": 80, ".tsv": 75, ".xlsx": 75, ".xls": 70, ".docx": 70, ".doc": 65, ".zip": 60, ".tar": 60, ".gz": 55, ".txt": 50}
-SCAN = 1_500_000
 
 
-def _scanned(html: Column) -> Column:
+def _scanned(html: Column, most: int | None = None) -> Column:
+    """Markup without the bodies of scripts and styles and without comments; whole, or its first ``most`` characters."""
     for tag in ("script", "style"):
         html = F.regexp_replace(html, rf"(?is)(<{tag}\b[^>]*>).*?(</{tag}>)", "$1$2")
-    return F.substring(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), 1, SCAN)
+    plain = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    return plain if most is None else F.substring(plain, 1, most)
 
 
-def tag_counts(pages: DataFrame, html: str = "html") -> DataFrame:
+def tag_counts(pages: DataFrame, html: str = "html", most: int | None = None) -> DataFrame:
     """(tag, n) over all pages."""
-    tags = pages.select(F.explode(F.regexp_extract_all(_scanned(F.col(html)), F.lit(r"<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1))).alias("tag"))
+    tags = pages.select(F.explode(F.regexp_extract_all(_scanned(F.col(html), most), F.lit(r"<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1))).alias("tag"))
     return tags.select(F.lower("tag").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_counts(pages: DataFrame, html: str = "html") -> DataFrame:
+def class_counts(pages: DataFrame, html: str = "html", most: int | None = None) -> DataFrame:
     """(token, n) over the class attributes of all pages."""
-    attrs = pages.select(F.explode(F.regexp_extract_all(_scanned(F.col(html)), F.lit(r'\bclass="([^"]*)"'), F.lit(1))).alias("a"))
+    attrs = pages.select(F.explode(F.regexp_extract_all(_scanned(F.col(html), most), F.lit(r'\bclass="([^"]*)"'), F.lit(1))).alias("a"))
     return attrs.select(F.explode(F.split(F.trim("a"), r"\s+")).alias("token")).where("token != ''").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -39,6 +40,17 @@ def sample_block_class(counts: DataFrame) -> DataFrame:
     return top.where(plain & F.col("n").between(3, 200)).orderBy(F.desc("n"), "token").limit(1)
 
 
+def sample_block(pages: DataFrame, key: str, html: str = "html", size: int = 30_000) -> DataFrame:
+    """(key, token, block): from the first element of the class that most likely marks a row, up to ``size`` characters, ended at the last tag."""
+    best = sample_block_class(class_counts(pages, html))
+    # one row
+    rows = pages.select(key, F.col(html).alias("_h")).crossJoin(F.broadcast(best.select("token")))
+    at = F.regexp_instr("_h", F.concat(F.lit(r'<[a-zA-Z][a-zA-Z0-9]*\b[^>]*class="[^"]*\b\Q'), F.col("token"), F.lit(r'\E\b')))
+    cut = F.substring(F.col("_h"), at, F.lit(size))
+    whole = F.when(F.length("_h") - at < size, cut).otherwise(F.regexp_extract(cut, r"(?s)^.*>", 0))
+    return rows.where(at > 0).select(key, "token", whole.alias("block"))
+
+
 def find_class(pages: DataFrame, token: str, key: str, tag: str | None = None, limit: int = 5, size: int = 1200, html: str = "html") -> DataFrame:
     """(key, n_hits, blocks): elements with a class token, their number and the first few, each cut to ``size``."""
     name = tag or "[a-zA-Z][a-zA-Z0-9]*"
@@ -58,25 +70,35 @@ def extract_pattern(pages: DataFrame, pattern: str, key: str, limit: int = 10, s
 
 
 def probe_values(pages: DataFrame, values: list[str], key: str, context: int = 400, max_hits: int = 2, html: str = "html") -> DataFrame:
-    """(key, value, hit, at, context): the first places of literal values with what stands around them."""
+    """(key, value, hit, at, context, pattern): the first places of literal values, what stands around them and a pattern that finds them again."""
     wanted = F.explode(F.array(*[F.lit(v) for v in values])).alias("value")
     rows = pages.select(key, F.col(html).alias("_h"), wanted)
     # the texts between the hits give the hits' places
     pieces = F.split("_h", F.concat(F.lit(r"\Q"), F.col("value"), F.lit(r"\E")), -1)
     ends = F.transform(F.slice(pieces, 1, max_hits), lambda x, i: F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda a, y: a + F.length(y)) + i * F.length("value") + 1)
     hits = rows.withColumn("_n", F.size(pieces) - 1).withColumn("_at", F.slice(ends, 1, F.least(F.lit(max_hits), F.col("_n")))).where("_n > 0")
-    return hits.select(key, "value", "_h", F.posexplode("_at").alias("hit", "at")).select(
+    out = hits.select(key, "value", "_h", F.posexplode("_at").alias("hit", "at")).select(
         key, "value", "hit", F.col("at").cast("int").alias("at"), F.substring(F.col("_h"), F.greatest(F.lit(1), F.col("at") - context // 2).cast("int"), F.lit(context) + F.length("value")).alias("context")
     )
+    return out.withColumn("pattern", suggested_pattern(F.col("context"), F.col("value")))
+
+
+def suggested_pattern(context: Column, value: Column) -> Column:
+    """A pattern that finds the value again: what stands before it on its line, back to the last tag, and up to the next one."""
+    before = F.split_part(context, value, F.lit(1))
+    lead = F.regexp_extract(before, r"(<[^<>]*>)[^<>]*$", 1)
+    label = F.regexp_extract(before, r"([^<>\n]*)$", 1)
+    quoted = lambda c: F.regexp_replace(c, r"([\\.^$|?*+()\[\]{}])", r"\\$1")
+    return F.concat(F.regexp_replace(quoted(lead), r"\s+", r"\\s+"), F.regexp_replace(quoted(label), r"\d+", r"\\d+"), F.lit("([^<]+)"))
 
 
-def links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+def links(pages: DataFrame, key: str, html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, pos, href, anchor) of all links that lead somewhere."""
     found = F.regexp_extract_all(F.col(html), F.lit(r'(?is)<a\s+[^>]*href="[^"]+"[^>]*>.*?</a>'), F.lit(0))
-    rows = pages.select(key, F.posexplode(found).alias("pos", "_a"))
+    rows = pages.select(key, *keep, F.posexplode(found).alias("pos", "_a"))
     href = F.trim(F.regexp_extract("_a", r'(?is)<a\s+[^>]*href="([^"]+)"', 1))
     anchor = F.trim(F.regexp_replace(F.regexp_replace("_a", r"(?s)<[^>]+>", " "), r"\s+", " "))
-    return rows.select(key, "pos", href.alias("href"), anchor.alias("anchor")).where(~F.col("href").rlike("^(?:javascript:|mailto:|tel:|#)") & (F.col("href") != ""))
+    return rows.select(key, *keep, "pos", href.alias("href"), anchor.alias("anchor")).where(~F.col("href").rlike("^(?:javascript:|mailto:|tel:|#)") & (F.col("href") != ""))
 
 
 def resolve_url(base: Column, href: Column) -> Column:
@@ -95,8 +117,7 @@ def asset_score(url: Column) -> Column:
 
 def top_assets(pages: DataFrame, key: str, base: str, k: int = 5, least: int = 15, html: str = "html") -> DataFrame:
     """(key, rank, url, score, anchor): of each page the best-scored links to data files, each URL once."""
-    rows = links(pages, key, html).withColumn("score", asset_score(F.col("href"))).where(F.col("score") >= least)
-    rows = rows.join(pages.select(key, base), key).withColumn("url", resolve_url(F.col(base), F.col("href")))
+    rows = links(pages, key, html, keep=(base,)).withColumn("score", asset_score(F.col("href"))).where(F.col("score") >= least).withColumn("url", resolve_url(F.col(base), F.col("href")))
     first = rows.groupBy(key, "url").agg(F.min(F.struct("pos", "score", "anchor")).alias("x")).select(key, "url", "x.*")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "pos"))
     return first.withColumn("rank", rank).where(F.col("rank") <= k).select(key, "rank", "url", "score", "anchor")

@@ -29,23 +29,40 @@ def field_coverage(df: DataFrame, names: list[str]) -> DataFrame:
     return _unpivot(one, names, {"n_rows": "n", "n_covered": "c"})
 
 
+def distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    """(variable, n_unique): values are grouped first, then counted, so a column's rows are combined before they meet."""
+    cells = F.array(*[F.struct(F.lit(n).alias("variable"), F.col(f"`{n}`").cast("string").alias("v")) for n in names])
+    long = df.select(F.explode(cells).alias("x")).select("x.*").where("v is not null")
+    return long.groupBy("variable", "v").agg(F.lit(1).alias("_")).groupBy("variable").agg(F.count(F.lit(1)).alias("n_unique"))
+
+
+def _with_distinct(long: DataFrame, counts: DataFrame, name: str, always: bool = False) -> DataFrame:
+    """Both have a row per variable."""
+    n = F.coalesce(F.col("n_unique"), F.lit(0)).cast("long")
+    return long.join(F.broadcast(counts), "variable", "left").withColumn(name, n if always else F.when(F.col("_scalar"), n)).drop("_scalar", *({"n_unique"} - {name}))
+
+
 def codebook_stats(df: DataFrame, codebook: Codebook, approximate: bool = False) -> DataFrame:
-    """Per variable: rows, non-empty values, distinct scalars, least, greatest and mean number, share of true; one pass over the rows."""
+    """Per variable: rows, non-empty values, distinct scalars, least, greatest and mean number, share of true; ``approximate`` counts distinct values by sketches in the same pass."""
     kinds = dict(df.dtypes)
     variables = [v for v in codebook.variables if v.name in kinds]
-    count = F.approx_count_distinct if approximate else F.countDistinct
+    scalars = [v.name for v in variables if not kinds[v.name].startswith(("array", "struct", "map"))]
     aggs: list[Column] = [F.count(F.lit(1)).alias("_rows")]
     for i, v in enumerate(variables):
         c, k = F.col(f"`{v.name}`"), kinds[v.name]
         has = covered(c, k)
         number = c.cast("double") if k in NUMBERS else F.lit(None).cast("double")
-        scalar = not k.startswith(("array", "struct", "map"))
         aggs += [
-            F.sum(F.when(has, 1).otherwise(0)).cast("long").alias(f"a{i}"), (count(F.when(has, c)) if scalar else F.lit(None).cast("long")).alias(f"b{i}"), F.min(number).alias(f"c{i}"), F.max(number).alias(f"d{i}"), F.avg(number).alias(f"e{i}"),
-            (F.avg(c.cast("double")) if k == "boolean" else F.lit(None).cast("double")).alias(f"f{i}"),
+            F.sum(F.when(has, 1).otherwise(0)).cast("long").alias(f"a{i}"), F.min(number).alias(f"c{i}"), F.max(number).alias(f"d{i}"), F.avg(number).alias(f"e{i}"),
+            (F.avg(c.cast("double")) if k == "boolean" else F.lit(None).cast("double")).alias(f"f{i}"), F.lit(v.name in scalars).alias(f"s{i}"),
+            *([(F.approx_count_distinct(F.when(has, c)) if v.name in scalars else F.lit(None).cast("long")).alias(f"b{i}")] if approximate else []),
         ]
     one = df.agg(*aggs).select("*", *[F.col("_rows").alias(f"n{i}") for i in range(len(variables))])
-    return _unpivot(one, [v.name for v in variables], {"n_rows": "n", "n_non_null": "a", "n_distinct": "b", "min_value": "c", "max_value": "d", "mean_value": "e", "share_true": "f"})
+    fields = {"n_rows": "n", "n_non_null": "a", "min_value": "c", "max_value": "d", "mean_value": "e", "share_true": "f"}
+    if approximate:
+        return _unpivot(one, [v.name for v in variables], fields | {"n_distinct": "b"})
+    given = df.select(*[F.when(covered(F.col(f"`{n}`"), kinds[n]), F.col(f"`{n}`")).alias(n) for n in scalars])
+    return _with_distinct(_unpivot(one, [v.name for v in variables], fields | {"_scalar": "s"}), distinct_counts(given, scalars), "n_distinct")
 
 
 def inferred_stats(df: DataFrame, names: list[str]) -> DataFrame:
@@ -57,10 +74,10 @@ def inferred_stats(df: DataFrame, names: list[str]) -> DataFrame:
         number = x.cast("double") if k in NUMBERS else F.lit(None).cast("double")
         aggs += [
             F.sum(F.when(covered(x, k), 1).otherwise(0)).cast("long").alias(f"a{i}"), F.min(number).alias(f"b{i}"), F.max(number).alias(f"c{i}"), F.avg(number).alias(f"d{i}"), F.stddev_samp(number).alias(f"e{i}"),
-            F.countDistinct(x).alias(f"f{i}"), (F.avg(F.length(x)) if k == "string" else F.lit(None).cast("double")).alias(f"g{i}"), (F.avg(x.cast("double")) if k == "boolean" else F.lit(None).cast("double")).alias(f"h{i}"), F.lit(k).alias(f"k{i}"),
+            (F.avg(F.length(x)) if k == "string" else F.lit(None).cast("double")).alias(f"g{i}"), (F.avg(x.cast("double")) if k == "boolean" else F.lit(None).cast("double")).alias(f"h{i}"), F.lit(k).alias(f"k{i}"),
         ]
-    fields = {"type": "k", "n_non_null": "a", "min_value": "b", "max_value": "c", "mean_value": "d", "sd_value": "e", "n_unique": "f", "mean_length": "g", "share_true": "h"}
-    return _unpivot(df.agg(*aggs), names, fields)
+    fields = {"type": "k", "n_non_null": "a", "min_value": "b", "max_value": "c", "mean_value": "d", "sd_value": "e", "mean_length": "g", "share_true": "h"}
+    return _with_distinct(_unpivot(df.agg(*aggs), names, fields), distinct_counts(df, names), "n_unique", always=True)
 
 
 def infer_codebook(df: DataFrame, name: str = "inferred") -> Codebook:
@@ -123,10 +140,10 @@ def history_tail(df: DataFrame, run: str, order: str, n: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(run).orderBy(F.desc(order)))).where(F.col("_r") <= n).drop("_r")
 
 
-def repeated_calls(df: DataFrame, run: str, order: str, call: Column, within: int = 5, times: int = 3) -> DataFrame:
-    """Rows whose call occurs so many times among the run's last ``within`` ones."""
+def repeated_calls(df: DataFrame, run: str, order: str, call: Column, within: int = 5, times: int = 3, compared: int | None = None) -> DataFrame:
+    """Rows whose call occurs so many times among the run's last ``within`` ones; calls are compared whole, or by their first ``compared`` characters."""
     last = F.collect_list("_call").over(Window.partitionBy(run).orderBy(order).rowsBetween(-(within - 1), 0))
-    seen = df.withColumn("_call", F.substring(call, 1, 120)).withColumn("_last", last)
+    seen = df.withColumn("_call", call if compared is None else F.substring(call, 1, compared)).withColumn("_last", last)
     return seen.withColumn("n_repeats", F.size(F.filter("_last", lambda x: x == F.col("_call")))).where(F.col("n_repeats") >= times).drop("_call", "_last")
 
 
@@ -154,5 +171,32 @@ def consecutive(df: DataFrame, run: str, order: str, hit: Column, out: str = "n_
     return islands.withColumn(out, F.sum("_hit").over(Window.partitionBy(run, "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_hit", "_island")
 
 
+def no_progress(df: DataFrame, run: str, order: str, n_rows: str, turns: int = 10) -> DataFrame:
+    """(run, n_turns) of runs that took so many turns and have no row at the last of them."""
+    one = df.groupBy(run).agg(F.count(F.lit(1)).alias("n_turns"), F.max_by(n_rows, order).alias("_n"))
+    return one.where((F.col("n_turns") >= turns) & (F.coalesce("_n", F.lit(0)) == 0)).select(run, "n_turns")
+
+
+def dataset_validate(df: DataFrame, codebook: Codebook | None = None) -> DataFrame:
+    """(variable, fact, value) of a table, as a rule the joined view: coverage of every variable, the range of dates, the values of enums with their shares, and issues."""
+    book = codebook or infer_codebook(df)
+    kinds = dict(df.dtypes)
+    stats = codebook_stats(df, book)
+    text = lambda c: F.format_string("%.4f", c)
+    out = stats.select("variable", F.lit("coverage").alias("fact"), text(F.when(F.col("n_rows") > 0, F.col("n_non_null") / F.col("n_rows")).otherwise(0.0)).alias("value"))
+    dates = [v.name for v in book.variables if v.type == "date" and v.name in kinds]
+    if dates:
+        one = df.agg(*[f(F.nullif(F.col(f"`{d}`").cast("string"), F.lit(""))).alias(f"{n}{i}") for i, d in enumerate(dates) for n, f in (("a", F.min), ("b", F.max))])
+        cells = [F.struct(F.lit(d).alias("variable"), F.lit(n).alias("fact"), F.col(f"{x}{i}").alias("value")) for i, d in enumerate(dates) for n, x in (("first date", "a"), ("last date", "b"))]
+        out = out.unionAll(one.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("value is not null"))
+    enums = [v.name for v in book.variables if v.type == "enum" and v.name in kinds]
+    if enums:
+        cells = [F.struct(F.lit(e).alias("variable"), F.nullif(F.col(f"`{e}`").cast("string"), F.lit("")).alias("v")) for e in enums]
+        n = df.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("v is not null").groupBy("variable", "v").agg(F.count(F.lit(1)).alias("n"))
+        share = n.join(F.broadcast(n.groupBy("variable").agg(F.sum("n").alias("_all"))), "variable")  # one row per enum
+        out = out.unionAll(share.select("variable", F.concat(F.lit("value "), "v"), text(F.col("n") / F.col("_all"))))
+    return out.unionAll(validate_extras(df, book).select("variable", F.lit("issue"), "issue"))
+
+
 def trace_summary(df: DataFrame, tool: str, failed: Column) -> DataFrame:
     return df.groupBy(tool).agg(F.count(F.lit(1)).alias("n_calls"), F.sum(F.when(failed, 1).otherwise(0)).cast("long").alias("n_failed"))

@@ -60,19 +60,31 @@ def with_id(df: DataFrame, id_col: str = "id") -> DataFrame:
     return df.withColumn(id_col, F.when(given.isNull() | given.isin("", "0"), content_id(df)).otherwise(given))
 
 
-def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key, the first by ``order``, as one aggregation with map-side combine: a hot key never gathers its rows."""
-    names = df.columns
+def _picked(df: DataFrame, keys: list[str], order: list[str], pick) -> DataFrame:
+    names, kinds = df.columns, dict(df.dtypes)
     order_by = F.struct(*[F.col(f"`{o}`") for o in order])
-    picked = df.groupBy(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min_by(F.struct(*[F.col(f"`{n}`") for n in names]), order_by).alias("_row"))
+    # texts as keys are grouped by their digest, so each row carries them once
+    texts = any(kinds[k] not in _SHORT for k in keys)
+    by = [F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)])), 256)).alias("_k")] if texts else [F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]
+    picked = df.groupBy(*by).agg(pick(F.struct(*[F.col(f"`{n}`") for n in names]), order_by).alias("_row"))
     return picked.select(*[F.col(f"_row.`{n}`").alias(n) for n in names])
 
 
+_SHORT = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz"}
+
+
+def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per key, the first by ``order``, as one aggregation with map-side combine: a hot key never gathers its rows."""
+    return _picked(df, keys, order, F.min_by)
+
+
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    names = df.columns
-    order_by = F.struct(*[F.col(f"`{o}`") for o in order])
-    picked = df.groupBy(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max_by(F.struct(*[F.col(f"`{n}`") for n in names]), order_by).alias("_row"))
-    return picked.select(*[F.col(f"_row.`{n}`").alias(n) for n in names])
+    return _picked(df, keys, order, F.max_by)
+
+
+def left_join_by_key(rows: DataFrame, other: DataFrame, key: str = "_key") -> DataFrame:
+    """Left join on a key that may be missing: rows without one never match and would all meet in one task, so they go around the join."""
+    return rows.where(F.col(key).isNotNull()).join(other, key, "left").unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
 def append_report(new: DataFrame, key: str, order: str, existing: DataFrame | None = None, violation: Column | None = None) -> DataFrame:
@@ -86,7 +98,7 @@ def append_report(new: DataFrame, key: str, order: str, existing: DataFrame | No
     else:
         firsts = firsts.withColumn("_held", F.lit(None).cast("boolean"))
     reason = F.when(F.col("_violation").isNotNull(), F.concat(F.lit("schema: "), F.col("_violation"))).when(F.col("_key").isNull(), F.lit("missing key")).when(F.col("_held") | (F.col(order) > F.col("_first")), F.lit("duplicate"))
-    return rows.join(firsts, "_key", "left").withColumn("_reason", reason).select(*new.columns, "_reason")
+    return left_join_by_key(rows, firsts).withColumn("_reason", reason).select(*new.columns, "_reason")
 
 
 def append(existing: DataFrame, new: DataFrame, key: str, order: str, violation: Column | None = None) -> DataFrame:
@@ -95,20 +107,24 @@ def append(existing: DataFrame, new: DataFrame, key: str, order: str, violation:
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """Full outer merge by key: the last non-null new value of each column wins, else the old one."""
+    """Full outer merge by key: the last non-null new value of each column wins, else the old one. Old rows without a key stay, new ones are added."""
     columns = [c for c in dict.fromkeys([*existing.columns, *new.columns]) if c not in (key, order)]
-    latest = new.groupBy(F.col(f"`{key}`").cast("string").alias("_key")).agg(*[F.max_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), F.col(order))).alias(f"_n_{c}") for c in columns if c in new.columns])
-    old = existing.withColumn("_key", F.col(f"`{key}`").cast("string"))
+    latest = new.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").cast("string").alias("_key")).agg(*[F.max_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), F.col(order))).alias(f"_n_{c}") for c in columns if c in new.columns])
+    old = existing.where(F.col(f"`{key}`").isNotNull()).withColumn("_key", F.col(f"`{key}`").cast("string"))
     both = old.join(latest, "_key", "full")
     merged = [F.coalesce(*([F.col(f"_n_{c}")] if c in new.columns else []), *([F.col(f"`{c}`")] if c in existing.columns else [])).alias(c) for c in columns]
-    return both.select(F.col("_key").alias(key), *merged)
+    out = both.select(F.col("_key").alias(key), *merged)
+    for df in (existing, new):
+        without = df.where(F.col(f"`{key}`").isNull())
+        out = out.unionAll(without.select(F.lit(None).cast("string").alias(key), *[F.col(f"`{c}`").cast(out.schema[c].dataType).alias(c) if c in df.columns else F.lit(None).cast(out.schema[c].dataType).alias(c) for c in columns]))
+    return out
 
 
 def patch(existing: DataFrame, patches: DataFrame, key: str, order: str) -> DataFrame:
     """Update only: of each id the last patch wins, its nulls too; ids that don't exist change nothing."""
     changed = [c for c in patches.columns if c not in (key, order)]
     last = keep_last(patches.where(F.col(key).isNotNull()), [key], [order]).select(F.col(key).cast("string").alias("_key"), *[F.col(f"`{c}`").alias(f"_p_{c}") for c in changed], F.lit(True).alias("_hit"))
-    rows = existing.withColumn("_key", F.col(f"`{key}`").cast("string")).join(last, "_key", "left")
+    rows = left_join_by_key(existing.withColumn("_key", F.col(f"`{key}`").cast("string")), last)
     own = [F.when(F.col("_hit"), F.col(f"_p_{c}")).otherwise(F.col(f"`{c}`")).alias(c) if c in changed else F.col(f"`{c}`") for c in existing.columns]
     extra = [F.when(F.col("_hit"), F.col(f"_p_{c}")).alias(c) for c in changed if c not in existing.columns]
     return rows.select(*own, *extra)
@@ -126,7 +142,7 @@ def merge_silver(bronze: DataFrame, silver: DataFrame, key: str, order: str, sil
     """Left join on the id as text; of each id the last silver row overrides bronze, its nulls too unless told otherwise."""
     typed = [c for c in silver.columns if c not in (key, order)]
     last = keep_last(silver.where(F.col(key).isNotNull()), [key], [order]).select(F.col(key).cast("string").alias("_key"), *[F.col(f"`{c}`").alias(f"_s_{c}") for c in typed], F.lit(True).alias("_hit"))
-    rows = bronze.withColumn("_key", F.col(f"`{key}`").cast("string")).join(last, "_key", "left")
+    rows = left_join_by_key(bronze.withColumn("_key", F.col(f"`{key}`").cast("string")), last)
 
     def pick(c: str) -> Column:
         if c not in typed:
@@ -178,6 +194,18 @@ def shape_overlap(a: list[str], b: list[str]) -> float:
     return len(x & y) / len(x | y) if x | y else 1.0
 
 
+def shape_lock(existing: DataFrame, incoming: DataFrame, order: str, sample: int = 20, least: float = 0.5) -> DataFrame:
+    """One row: the overlap of the keys that the first rows of both tables fill, and whether it is too small for the new rows to belong to the table."""
+
+    def keys(df: DataFrame) -> Column:
+        return [F.max(F.when(F.col(f"`{c}`").isNotNull(), F.lit(c))) for c in df.columns if c != order and not c.startswith("_")]
+
+    one, two = (df.orderBy(order).limit(sample).agg(F.array_compact(F.array(*keys(df))).alias(n)) for df, n in ((existing, "a"), (incoming, "b")))
+    overlap = F.when(F.size(F.array_union("a", "b")) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")))
+    # one row each
+    return one.crossJoin(two).select(overlap.alias("overlap"), (overlap < least).alias("refused"))
+
+
 def fill_booleans(df: DataFrame, required: list[str]) -> DataFrame:
     """Required has_ and is_ columns with silence read as no; only where asked for."""
     kinds = dict(df.dtypes)

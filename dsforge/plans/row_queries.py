@@ -70,7 +70,7 @@ def coerce_string(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BOOK = Codebook("cases", [
     VariableSpec("country_code", "string", required=True), VariableSpec("sector", "enum", enum_values=["education", "finance", "health", "media", "public sector", "research", "retail", "telecom"]),
-    VariableSpec("amount_eur", "float", min=0, max=20_000_000), VariableSpec("n_persons", "integer", min=0, max=1000), VariableSpec("pct_fill", "float", min=0, max=100), VariableSpec("is_public", "boolean"),
+    VariableSpec("amount_eur", "float", min_value=0, max_value=20_000_000), VariableSpec("n_persons", "integer", min_value=0, max_value=1000), VariableSpec("pct_fill", "float", min_value=0, max_value=100), VariableSpec("is_public", "boolean"),
     VariableSpec("has_appeal", "boolean"), VariableSpec("decided_on", "date"),
 ])
 
@@ -349,7 +349,7 @@ def trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT row_no, TRY_CAST(regexp_extract(id, '-([0-9]{4})-', 1) AS BIGINT) AS n_year, CASE WHEN regexp_extract(id, '^([A-Z]{3})-', 1) <> '' THEN regexp_extract(id, '^([A-Z]{3})-', 1) END AS kind FROM dataset WHERE id IS NOT NULL""")
 def rule_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = Codebook("ids", [VariableSpec("n_year", "integer", min=1900, max=2100), VariableSpec("kind")])
+    book = Codebook("ids", [VariableSpec("n_year", "integer", min_value=1900, max_value=2100), VariableSpec("kind")])
     rule = extraction.RuleExtractor({"n_year": r"-([0-9]{4})-", "kind": r"^([A-Z]{3})-"})
     d = spread(table(spark, sf_dir, "dataset").where("id is not null"))
     return extraction.extract(d, book, rule, "row_no", "id").select("row_no", "n_year", "kind")

@@ -8,9 +8,11 @@ import os
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dsforge.functions.coerce import to_boolean
 from dsforge.operators.profiling import codebook_stats, infer_codebook
 from dsforge.operators.rows import merge_silver
 from dsforge.plans.model import Codebook, VariableSpec
+from dsforge.sources.files import file_system, write_bytes
 
 
 def export_column(c: Column, kind: str, var: VariableSpec) -> Column:
@@ -19,7 +21,7 @@ def export_column(c: Column, kind: str, var: VariableSpec) -> Column:
         text = c.cast("string")
         return F.when(text.rlike(r"^.{4}-.{2}-.{2}"), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
     if var.type == "boolean":
-        return c if kind == "boolean" else F.when(c.cast("string").isin("true", "True", "1"), True).when(c.isNotNull(), False)
+        return c if kind == "boolean" else to_boolean(c, kind)
     if var.type == "integer":
         return c.try_cast("double").try_cast("long") if kind == "string" else c.try_cast("long")
     if var.type == "float":
@@ -60,7 +62,7 @@ def data_card(codebook: Codebook, stats: list[dict], n_rows: int, source_url: st
         s = by_name.get(v.name)
         share = f"{s['n_non_null'] / s['n_rows']:.0%}" if s and s["n_rows"] else "-"
         lines.append(f"| {cell(v.name)} | {v.type} | {share} | {cell(v.description)} |")
-    notes = [f"- {v.name}: {v.notes}" for v in codebook.variables if v.notes]
+    notes = [f"- {v.name}: {'; '.join(v.adversary_notes)}" for v in codebook.variables if v.adversary_notes]
     return "\n".join(lines + (["", "## Notes", *notes] if notes else [])) + "\n"
 
 
@@ -79,12 +81,9 @@ def export_dataset(bronze: DataFrame, silver: DataFrame | None, codebook: Codebo
             silver.write.mode("overwrite").json(at["typed"])
             write_parquet(silver, book, at["typed_parquet"], [key])
         stats = [r.asDict() for r in codebook_stats(merged, book).collect()]
-        os.makedirs(out_dir, exist_ok=True)
-        book.save(at["codebook"])
-        with open(at["card"], "w", encoding="utf-8") as f:
-            f.write(data_card(book, stats, merged.count(), source_url))
-        with open(os.path.join(out_dir, "stats.json"), "w", encoding="utf-8") as f:
-            json.dump(stats, f)
+        texts = {at["codebook"]: json.dumps(book.to_dict(), ensure_ascii=False, indent=2), at["card"]: data_card(book, stats, merged.count(), source_url), os.path.join(out_dir, "stats.json"): json.dumps(stats)}
+        for path, text in texts.items():
+            write_bytes(path, text.encode())
     finally:
         merged.unpersist()
     return at
@@ -92,7 +91,10 @@ def export_dataset(bronze: DataFrame, silver: DataFrame | None, codebook: Codebo
 
 def push_source(out_dir: str, name: str) -> str | None:
     """What a publisher should take: the codebook's Parquet, else any Parquet, else JSONL."""
-    found = sorted(os.listdir(out_dir)) if os.path.isdir(out_dir) else []
+    from pyarrow.fs import FileSelector
+
+    fs, at = file_system(out_dir)
+    found = sorted(x.base_name for x in fs.get_file_info(FileSelector(at, allow_not_found=True)))
     for pick in ([f for f in found if f == f"{name}.parquet"], [f for f in found if f.endswith(".parquet")], [f for f in found if f.endswith(".jsonl")]):
         if pick:
             return os.path.join(out_dir, pick[0])

@@ -38,21 +38,68 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def rewrite(df: DataFrame, path: str, form: str = "json") -> None:
-    """Replaces a table in one step: written beside it, then renamed, so a reader sees the old rows or the new ones."""
+    """Replaces a table: written beside it, the old one moved aside, the new one moved in its place, the old one deleted.
+
+    The two moves are not one step on every file system: between them there is no table for a moment. If the second fails the old table is put back; after a crash in between
+    ``restore`` does that.
+    """
+    spark = df.sparkSession
     beside = f"{path}.{uuid.uuid4().hex}.new"
     df.write.format(form).save(beside)
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.old")
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(new, target)
-    if fs.exists(old):
+    target, new, old, fs = _places(spark, path, beside)
+    held = fs.exists(target)
+    if held and not fs.rename(target, old):
+        fs.delete(new, True)
+        raise OSError(f"{path!r} can't be moved aside; it is unchanged")
+    if not fs.rename(new, target):
+        if held:
+            fs.rename(old, target)
+        raise OSError(f"the new table can't be moved to {path!r}; the old one is back")
+    if held:
         fs.delete(old, True)
 
 
+def restore(spark: SparkSession, path: str) -> bool:
+    """Puts back the table that a crash of ``rewrite`` left aside; whether there was one to put back."""
+    target, _, old, fs = _places(spark, path, path + ".new")
+    if fs.exists(target) or not fs.exists(old):
+        return False
+    return fs.rename(old, target)
+
+
+def _places(spark: SparkSession, path: str, beside: str) -> tuple:
+    jvm = spark.sparkContext._jvm
+    target, new, old = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, beside, path + ".old"))
+    return target, new, old, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def file_system(path: str):
+    """(file system, path in it) of a path or URI, the same on the driver and on executors: local paths, and every scheme that pyarrow knows."""
+    from pyarrow import fs
+
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), os.path.abspath(path)
+
+
+def write_bytes(path: str, data: bytes) -> None:
+    """Writes a whole file where the tables go too."""
+    fs, at = file_system(path)
+    fs.create_dir(os.path.dirname(at), recursive=True)
+    with fs.open_output_stream(at) as f:
+        f.write(data)
+
+
+def read_bytes(path: str) -> bytes | None:
+    """A whole file, None if there is none."""
+    fs, at = file_system(path)
+    try:
+        with fs.open_input_stream(at) as f:
+            return f.read()
+    except FileNotFoundError:
+        return None
+
+
 def list_files(spark: SparkSession, root: str, path: str = ".") -> DataFrame:
     """(path, length, modificationTime) of the files below a folder; contents aren't read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(confined(root, path)).select("path", "length", "modificationTime")

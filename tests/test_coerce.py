@@ -44,7 +44,7 @@ def test_array_string_bounds(spark):
 
 
 def test_row_warnings(spark):
-    book = Codebook("b", [VariableSpec("n", "integer", max=5), VariableSpec("t", required=True), VariableSpec("absent", "boolean", required=True)])
+    book = Codebook("b", [VariableSpec("n", "integer", max_value=5), VariableSpec("t", required=True), VariableSpec("absent", "boolean", required=True)])
     df = spark.createDataFrame([(1, "9", None), (2, "3", "x")], "k int, n string, t string")
     rows = C.coerce_row(df, book, ["k"]).orderBy("k").collect()
     assert rows[0]._warnings == {"n": "coercion lost value", "t": "required but missing", "absent": "required but missing"}
@@ -68,5 +68,5 @@ def test_codebook_rules():
     change = book.edit(drop=["is_mentions_llm"], rename={"title": "name"}, add=[VariableSpec("when", "date")])
     assert book.extraction_signature() != before and change["keep_only"] == ["has_llm", "n_years_experience_required", "n_years_experience_req", "name", "when"]
     assert Codebook.from_dict(book.to_dict() | {"variables": [v | {"odd": 1} for v in book.to_dict()["variables"]]}).to_dict() == book.to_dict()
-    schema = VariableSpec("s", "enum", "Sector", ["a"], unit="u", hint="h").json_schema()
+    schema = VariableSpec("s", "enum", "Sector", ["a"], unit="u", extraction_hint="h").json_schema()
     assert schema["enum"] == ["a", None] and "Unit: u" in schema["description"]
