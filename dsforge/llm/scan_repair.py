@@ -516,7 +516,7 @@ def _places(texts: DataFrame, known: list[str], kind: str) -> DataFrame:
                 if len(cores) > 500_000:
                     cores.clear()
                 core = _core(token)
-                got = cores[token] = core if core and core not in good else None
+                got = cores[token] = core if core and core not in good and not core.isdigit() else None
             return got
 
         for batch in batches:
