@@ -6,10 +6,10 @@ import numpy as np
 
 
 class BoostedTrees:
-    """Trees of fixed depth under the logistic loss; ``fit`` works on a bounded sample in memory, ``predict`` on any batch."""
+    """Trees of fixed depth under the logistic loss; each tree looks at a share ``columns`` of the features, drawn at random, so no single one decides alone. ``fit`` works on a bounded sample in memory, ``predict`` on any batch."""
 
-    def __init__(self, trees: int = 50, depth: int = 4, rate: float = 0.25, bins: int = 32, l2: float = 1.0):
-        self.n, self.depth, self.rate, self.bins, self.l2 = trees, depth, rate, bins, l2
+    def __init__(self, trees: int = 50, depth: int = 4, rate: float = 0.25, bins: int = 32, l2: float = 1.0, columns: float = 1.0):
+        self.n, self.depth, self.rate, self.bins, self.l2, self.columns = trees, depth, rate, bins, l2, columns
         self.feature, self.cut, self.value, self.start = [], [], [], 0.0
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
@@ -20,7 +20,10 @@ class BoostedTrees:
         self.start = float(np.log(mean / (1 - mean)))
         z = np.full(rows, self.start)
         offset = np.arange(width) * self.bins
+        drawn = np.random.RandomState(5)
         for _ in range(self.n):
+            hidden = np.ones(width, bool)
+            hidden[drawn.permutation(width)[: max(1, round(self.columns * width))]] = False
             p = 1 / (1 + np.exp(-z))
             g, h = y - p, p * (1 - p)
             node = np.zeros(rows, np.int64)
@@ -34,6 +37,7 @@ class BoostedTrees:
                 gt, ht = gs[:, :, -1:], hs[:, :, -1:]
                 gain = gs**2 / (hs + self.l2) + (gt - gs) ** 2 / (ht - hs + self.l2)
                 gain[(hs < 1) | (ht - hs < 1)] = -1
+                gain[:, hidden] = -2
                 best = gain.reshape(count, -1).argmax(1)
                 f, b = best // self.bins, best % self.bins
                 feature.append(f)
