@@ -97,11 +97,20 @@ def quarantine(extracted: DataFrame, key: str) -> DataFrame:
     return extracted.where("_error is not null").select(key, F.col("_error").alias("error"))
 
 
-def extract_missing(bronze: DataFrame, silver: DataFrame, codebook: Codebook, extractor: Extractor, key: str, text: str, least_chars: int = 200) -> DataFrame:
-    """Extraction of the rows that the typed table lacks and that have enough text; both filters come before the extractor."""
-    done = silver.select(F.col(key).cast("string").alias("_key")).where("_key is not null").distinct()
-    todo = bronze.where(F.length(text) >= least_chars).withColumn("_key", F.col(key).cast("string")).join(done, "_key", "left_anti")
-    return extract(todo, codebook, extractor, key, text)
+def extract_missing(bronze: DataFrame, silver: DataFrame, codebook: Codebook, extractor: Extractor, key: str, text: str, least_chars: int = 200, least_fields: int = 3) -> DataFrame:
+    """Extraction of the rows that the typed table lacks, with ``_extract_status``: rows of enough text go in by it, rows of enough structured fields by their fields as lines,
+    the others come out as ``no_text`` with nulls, so no row is lost. The filters come before the extractor."""
+    from dsforge.operators.inspection import row_text, text_gate
+
+    done = silver.where("_extract_status = 'ok'") if "_extract_status" in silver.columns else silver
+    held = done.select(F.col(key).cast("string").alias("_key")).where("_key is not null").distinct()
+    todo = bronze.withColumn("_key", F.col(key).cast("string")).join(held, "_key", "left_anti")
+    own = [c for c in bronze.columns if not c.startswith("_") and c not in (key, text)]
+    fields = todo.select(*own)
+    rated = text_gate(todo.withColumn("_text", F.when(F.length(text) >= least_chars, F.col(text)).otherwise(row_text(fields) if own else F.lit(None).cast("string"))), F.col(text), own, least_chars, least_fields)
+    ok = rated.where("_extract_status = 'ok'").select(key, "_text")
+    out = extract(ok, codebook, extractor, key, "_text").withColumn("_extract_status", F.lit("ok"))
+    return out.unionByName(rated.where("_extract_status != 'ok'").select(key, "_extract_status"), allowMissingColumns=True)
 
 
 def fill_new(bronze: DataFrame, silver: DataFrame, codebook: Codebook, new: list[str], extractor: Extractor, key: str, text: str) -> DataFrame:

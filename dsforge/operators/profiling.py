@@ -182,7 +182,7 @@ def dataset_validate(df: DataFrame, codebook: Codebook | None = None) -> DataFra
     book = codebook or infer_codebook(df)
     kinds = dict(df.dtypes)
     stats = codebook_stats(df, book)
-    text = lambda c: F.format_string("%.4f", c)
+    text = lambda c: F.format_string("%.8f", c)
     out = stats.select("variable", F.lit("coverage").alias("fact"), text(F.when(F.col("n_rows") > 0, F.col("n_non_null") / F.col("n_rows")).otherwise(0.0)).alias("value"))
     dates = [v.name for v in book.variables if v.type == "date" and v.name in kinds]
     if dates:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dsforge.plans import page_queries, quality_queries, row_queries  # noqa: F401  (registers its queries)
+from dsforge.plans import operator_queries, page_queries, quality_queries, row_queries  # noqa: F401  (registers its queries)
 from dsforge.plans.registry import ORACLES, QUERIES, Query
 
 

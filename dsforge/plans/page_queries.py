@@ -139,16 +139,6 @@ def asset_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspection.top_assets(pages(spark, sf_dir), "page_id", "url").select("page_id", F.col("rank").cast("int").alias("rank"), "url", F.col("score").cast("int").alias("score"))
 
 
-@query()
-def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(pages(spark, sf_dir)).select("page_id", F.posexplode(X.chunk_html(F.col("html"), 300)).alias("piece", "part"))
-
-
-@query()
-def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(pages(spark, sf_dir)).select("page_id", X.html_to_text("html").alias("body"))
-
-
 @query("SELECT path, 'plain' AS kind, length(content)::INTEGER AS n_chars FROM text_files WHERE content IS NOT NULL AND NOT regexp_matches(ltrim(content), '^[\\[{]')")
 def extract_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "text_files").where("content is not null")

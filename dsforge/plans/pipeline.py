@@ -29,8 +29,17 @@ class Dataset:
         return report
 
     def upsert(self, new: DataFrame) -> None:
-        order = self.df.select(F.col(self.key).cast("string").alias(self.key), "_ord")
-        self.df = rows.upsert(self.df.drop("_ord"), new, self.key, "_ord").join(order, self.key, "left")
+        """New rows keep their own place; of repeated keys the first place holds. A key that is repeated here is one row for each repetition, as before."""
+        place = self.df.withColumn("_at", F.col("_ord")).drop("_ord")
+        first = new.where(F.col(self.key).isNotNull()).groupBy(F.col(self.key).cast("string").alias(self.key)).agg(F.min("_ord").alias("_new_at"))
+        merged = rows.upsert(place, new, self.key, "_ord")
+        self.df = rows.left_join_by_key(merged, first, self.key).withColumn("_ord", F.coalesce("_at", "_new_at")).drop("_at", "_new_at")
+
+    def changed_outside(self, path: str, schema, form: str = "json") -> None:
+        """Reads the table again after another program has written it."""
+        spark = self.df.sparkSession
+        spark.catalog.refreshByPath(path)
+        self.df = spark.read.schema(schema).format(form).load(path)
 
     def patch(self, patches: DataFrame) -> None:
         self.df = rows.patch(self.df, patches, self.key, "_ord")
@@ -102,6 +111,7 @@ class Pipeline:
     queue: DataFrame | None = None
     signature: str | None = None
     key: str = "id"
+    _kept: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     def harvest(self, pages: DataFrame, spec: Spec, page: str, target: int | None = None) -> DataFrame:
         """Listing pages to the queue; items without an id get one from their content."""
@@ -110,13 +120,13 @@ class Pipeline:
         items = rows.with_id(items, self.key) if self.key in items.columns else items.withColumn(self.key, rows.content_id(items, columns=list(spec.fields)))
         swept = queueing.sweep(items, page, "_pos", self.key, known=self.queue, target=target)
         new = swept.withColumn("_ord", F.col(page).cast("long") * 1_000_000 + F.col("_pos")).drop("_pos", page)
-        self.queue = (new if self.queue is None else self.queue.unionByName(new)).persist()
+        self.queue = self._keep("queue", new if self.queue is None else self.queue.unionByName(new))
         return self.queue
 
     def to_rows(self, required: list[str]) -> DataFrame:
         none = self.queue.where("false") if self.bronze is None else self.bronze
         new = queueing.rows_from_queue(self.queue, none, self.key, required, "_ord")
-        self.bronze = (new if self.bronze is None else self.bronze.unionByName(new, allowMissingColumns=True)).persist()
+        self.bronze = self._keep("bronze", new if self.bronze is None else self.bronze.unionByName(new, allowMissingColumns=True))
         return self.bronze
 
     def extract(self, extractor: extraction.Extractor, text: str, least_chars: int = 200) -> DataFrame:
@@ -128,13 +138,69 @@ class Pipeline:
         else:
             empty = self.silver
         new = extraction.extract_missing(self.bronze, empty, self.codebook, extractor, self.key, text, least_chars).join(self.bronze.select(self.key, "_ord"), self.key)
-        self.silver = (new if self.silver is None else self.silver.unionByName(new)).persist()
+        # rows that had no text are tried again each time
+        kept = None if self.silver is None else self.silver.where("_extract_status = 'ok'")
+        self.silver = self._keep("silver", new if kept is None else kept.unionByName(new))
         return self.silver
 
+    def _keep(self, name: str, df: DataFrame) -> DataFrame:
+        """The step's result in the cache, its predecessor out of it."""
+        old = self._kept.get(name)
+        self._kept[name] = df.persist()
+        df.count()
+        if old is not None:
+            old.unpersist()
+        return df
+
+    def close(self) -> None:
+        """Releases what the steps have kept."""
+        for df in self._kept.values():
+            df.unpersist()
+        self._kept.clear()
+
     def joined(self) -> DataFrame:
         if self.silver is None:
             return self.bronze
-        return rows.merge_silver(self.bronze, self.silver.drop("_error", "_warnings"), self.key, "_ord")
+        return rows.merge_silver(self.bronze, self._typed(), self.key, "_ord")
+
+    def _typed(self) -> DataFrame:
+        return self.silver.where("_extract_status = 'ok'").drop("_error", "_warnings", "_extract_status")
+
+    def process(self, details: DataFrame, url: str, detail: Spec | None = None, template: dict | None = None) -> DataFrame:
+        """Pending items with what their own pages say, as rows; gives the failures, which stay pending."""
+        waiting = self.queue if self.bronze is None else queueing.pending(self.queue, self.bronze, self.key)
+        good, failed = process_queue(waiting, details, url, self.key, detail, template)
+        good = good.drop("_page", "_error")
+        self.bronze = self._keep("bronze", good if self.bronze is None else self.bronze.unionByName(good, allowMissingColumns=True))
+        return failed
+
+    def run(
+        self, pages: DataFrame, spec: Spec, page: str, details: DataFrame | None = None, url: str = "detail_url", detail: Spec | None = None, extractor: extraction.Extractor | None = None, text: str = "body",
+        target: int | None = None, required: list[str] = (), out_dir: str | None = None, source_url: str | None = None,
+    ) -> dict:
+        """A whole run from listing pages to files: harvest, detail pages, typed extraction, verification, export.
+
+        Verification that fails is tried once more after the items that are still pending have been taken as they are, without their pages. Gives the verification, the phase, the number of failed items and the paths.
+        """
+        self.harvest(pages, spec, page, target)
+        failed = 0
+        if details is not None:
+            failed = self.process(details, url, detail).count()
+        else:
+            self.to_rows(list(required) or list(spec.fields))
+
+        def typed() -> dict:
+            if extractor is not None:
+                self.codebook = self.codebook or profiling.infer_codebook(self.bronze)
+                self.extract(extractor, text)
+            return self.verify()
+
+        verdict = typed()
+        if not verdict["ok"] and failed:
+            self.to_rows(list(required) or list(spec.fields))
+            verdict = typed()
+        paths = self.export(out_dir, source_url) if out_dir else {}
+        return {"verified": verdict, "phase": self.phase(target or 0), "n_rows": self.bronze.count(), "n_failed": failed, "paths": paths}
 
     def verify(self) -> dict:
         """Contracts on the joined view, and columns that few rows have."""
@@ -144,17 +210,17 @@ class Pipeline:
 
     def phase(self, target: int) -> str:
         n = self.bronze.count() if self.bronze is not None else 0
-        return current_phase(RunState(n_rows=n, target=target, contracts_ok=bool(n) and self.book.all_satisfied(self.joined()), has_page=True, has_extractor=True, n_queue=0 if self.queue is None else self.queue.count(), has_codebook=self.codebook is not None, n_silver=0 if self.silver is None else self.silver.count(), stale_codebook=self.codebook is not None and self.codebook.extraction_signature() != self.signature))
+        return current_phase(RunState(n_rows=n, target=target, contracts_ok=bool(n) and self.book.all_satisfied(self.joined()), has_page=True, has_extractor=True, n_queue=0 if self.queue is None else self.queue.count(), has_codebook=self.codebook is not None, n_silver=0 if self.silver is None else self._typed().count(), stale_codebook=self.codebook is not None and self.codebook.extraction_signature() != self.signature))
 
     def export(self, out_dir: str, source_url: str | None = None) -> dict[str, str]:
-        silver = None if self.silver is None else self.silver.drop("_error", "_warnings")
+        silver = None if self.silver is None else self._typed()
         return export.export_dataset(self.bronze, silver, self.codebook, out_dir, self.key, "_ord", source_url)
 
 
 def describe(pipe: Pipeline, target: int) -> str:
     """A short text of where a run stands."""
     n = pipe.bronze.count() if pipe.bronze is not None else 0
-    lines = [f"phase: {pipe.phase(target)}", f"rows: {n} of {target}", f"queue: {0 if pipe.queue is None else pipe.queue.count()}", f"typed: {0 if pipe.silver is None else pipe.silver.count()}"]
+    lines = [f"phase: {pipe.phase(target)}", f"rows: {n} of {target}", f"queue: {0 if pipe.queue is None else pipe.queue.count()}", f"typed: {0 if pipe.silver is None else pipe._typed().count()}"]
     if n:
         lines += [f"{'ok ' if ok else 'FAIL'} {name}: {detail}" for name, ok, detail in pipe.book.check(pipe.joined())]
     return "\n".join(lines)

@@ -75,14 +75,21 @@ BOOK = Codebook("cases", [
 ])
 
 
-@query("""SELECT ex_no, n_persons, CASE WHEN n_persons BETWEEN 0 AND 1000 THEN n_persons END AS n_bounded, (CASE WHEN n_persons NOT BETWEEN 0 AND 1000 THEN 1 ELSE 0 END + CASE WHEN pct_fill NOT BETWEEN 0 AND 100 THEN 1 ELSE 0 END)::INTEGER AS n_lost,
- CASE WHEN country_code IS NULL OR trim(country_code) = '' THEN 1 ELSE 0 END::INTEGER AS n_missing FROM extracted WHERE sector <> '' AND (decided_on IS NULL OR regexp_matches(decided_on, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')) AND (amount_eur IS NULL OR amount_eur BETWEEN 0 AND 20000000)""")
+@query("""SELECT ex_no, CASE WHEN n_persons BETWEEN 0 AND 1000 THEN n_persons END AS n_bounded, (CASE WHEN n_persons NOT BETWEEN 0 AND 1000 THEN 1 ELSE 0 END + CASE WHEN pct_fill NOT BETWEEN 0 AND 100 THEN 1 ELSE 0 END + CASE WHEN amount_eur NOT BETWEEN 0 AND 20000000 THEN 1 ELSE 0 END)::INTEGER AS n_lost,
+ CASE WHEN country_code IS NULL OR trim(country_code) = '' THEN 1 ELSE 0 END::INTEGER AS n_missing FROM extracted""")
 def coerce_row_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "extracted").where("sector <> '' and (decided_on is null or decided_on rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') and (amount_eur is null or amount_eur between 0 and 20000000)")
-    out = C.coerce_row(e.withColumn("_n", F.col("n_persons")), BOOK, keep=["ex_no", "_n"])
-    numbers = F.map_filter("_warnings", lambda k, v: (v == "coercion lost value") & k.isin("n_persons", "pct_fill"))
+    """Every row as it is: numbers that were lost, and required values that are missing."""
+    out = C.coerce_row(table(spark, sf_dir, "extracted"), BOOK, keep=["ex_no"])
+    numbers = F.map_filter("_warnings", lambda k, v: (v == "coercion lost value") & k.isin("n_persons", "pct_fill", "amount_eur"))
     missing = F.coalesce(F.try_element_at("_warnings", F.lit("country_code")), F.lit("")) != ""
-    return out.select("ex_no", F.col("_n").alias("n_persons"), F.col("n_persons").alias("n_bounded"), F.size(numbers).alias("n_lost"), missing.cast("int").alias("n_missing"))
+    return out.select("ex_no", F.col("n_persons").alias("n_bounded"), F.size(numbers).alias("n_lost"), missing.cast("int").alias("n_missing"))
+
+
+@query()
+def coerce_warning_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(variable, warning, n_rows) over all rows and variables; SQL can't say the snapping of enums and the reading of dates."""
+    out = C.coerce_row(table(spark, sf_dir, "extracted"), BOOK, keep=["ex_no"])
+    return out.select(F.explode("_warnings").alias("variable", "warning")).groupBy("variable", "warning").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 # ---- ids, append, upsert, patch, merge
@@ -266,10 +273,14 @@ def key_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiling.key_presence(d.select(F.from_json("extra", "map<string,string>").alias("m")), "m")
 
 
-@query("SELECT 'status_code' AS variable, 'single-value enum' AS issue FROM extracted WHERE status_code = 'ST-01' HAVING count(*) > 0")
+@query("""SELECT 'one' AS variable, 'single-value enum' AS issue FROM extracted HAVING count(DISTINCT CASE WHEN is_public THEN 'yes' END) = 1 UNION ALL SELECT 'rare', 'low coverage' FROM extracted HAVING avg(CASE WHEN n_persons > 900 THEN 1.0 ELSE 0 END) < 0.2
+ UNION ALL SELECT 'flag', 'near-constant boolean' FROM extracted HAVING avg(CASE WHEN ex_no % 100 <> 0 THEN 1.0 ELSE 0 END) >= 0.98""")
 def validate_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = Codebook("one", [VariableSpec("status_code", "enum", enum_values=["ST-01", "ST-02"])])
-    return profiling.validate_extras(table(spark, sf_dir, "extracted").where("status_code = 'ST-01'"), book)
+    """Three columns made of the table's own, each with another issue, beside one without any."""
+    e = table(spark, sf_dir, "extracted")
+    d = e.select("sector", F.when(F.col("is_public"), "yes").alias("one"), F.when(F.col("n_persons") > 900, F.col("n_persons")).alias("rare"), (F.col("ex_no") % 100 != 0).alias("flag"))
+    book = Codebook("more", [VariableSpec("sector", "enum", enum_values=["x"]), VariableSpec("one", "enum", enum_values=["yes"]), VariableSpec("rare", "integer"), VariableSpec("flag", "boolean")])
+    return profiling.validate_extras(d, book)
 
 
 @query("SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY o_orderpriority")

@@ -23,8 +23,9 @@ def test_run(spark, tmp_path):
     assert good.count() == 5 and failed.count() == 1 and good.where("body like 'Case number%'").count() == 5
     pipe.to_rows(["title"])
     pipe.bronze = pipe.bronze.join(good.select("id", "body"), "id", "left").persist()
-    assert pipe.extract(RuleExtractor({"n_case": r"number (\d+)"}), "body").count() == 5
-    assert pipe.extract(RuleExtractor({"n_case": r"number (\d+)"}), "body").count() == 5  # nothing new
+    for _ in range(2):  # the second time there is nothing new
+        status = pipe.extract(RuleExtractor({"n_case": r"number (\d+)"}), "body").groupBy("_extract_status").count().collect()
+        assert {r[0]: r[1] for r in status} == {"ok": 5, "no_text": 1}  # no row is lost
     assert pipe.joined().where("n_case is not null").count() == 5 and pipe.verify()["ok"] and pipe.phase(6) == "FINISH"
     assert "min_rows" in P.describe(pipe, 6)
     at = pipe.export(str(tmp_path))
@@ -45,6 +46,9 @@ def test_dataset(spark):
     data.patch(spark.createDataFrame([("1", None, 5)], "id string, v string, _ord long"))
     assert sorted(((r.id, r.v) for r in data.df.collect()), key=str) == [("1", None), ("2", "z")]
     assert data.sample(1).first().id == "1" and "v" in P.format_stats(data.stats()) and '"id":"1"' in P.context_snippet(data.df)
+    assert {r.id: r._ord for r in data.df.collect()} == {"1": 0, "2": 2}  # an update keeps the row's place
+    data.upsert(spark.createDataFrame([("9", "n", 7), (None, "q", 8)], "id string, v string, _ord long"))
+    assert {r.id: r._ord for r in data.df.collect()} == {"1": 0, "2": 2, "9": 7, None: None}
     data.wipe()
     assert data.df.count() == 0
 
