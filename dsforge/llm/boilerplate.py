@@ -78,7 +78,7 @@ class Lines:
         self.scores, self.first_words, self.known = scores, first_words, {}
 
     def of(self, x: str) -> tuple:
-        """(key, squeezed, words, ends like a sentence, kind of bullet, likeness to a title, features)."""
+        """(key, squeezed, words, ends like a sentence, kind of bullet, likeness to a title, whether a row of parts, features)."""
         got = self.known.get(x)
         if got is None:
             if len(self.known) > 200_000:
@@ -98,7 +98,7 @@ class Lines:
             np.log1p(len(x)), len(words), ends, x.endswith("…"), x[0].islower(), bullet, len(_SEPARATOR.findall(x)), len(_ONE_DIGIT.findall(x)) / len(x), len(_CAPITAL.findall(x)) / len(x), 0 < x.find(":") < 24,
             sum(tokens) / len(tokens), max(tokens), min(tokens), tokens[0], tokens[-1], get("^" + " ".join(low.split()[:2]), 0.0), get("=" + _mask(x), 0.0), titled,
         )
-        return _key(x), _squeeze(x), len(words), ends, bullet, titled, own
+        return _key(x), _squeeze(x), len(words), ends, bullet, titled, own[6] > 0 and bool(_parts(x)), own
 
     @staticmethod
     def words(x: str, attributes: str) -> set[str]:
@@ -153,7 +153,7 @@ class Page:
             leaves = [(k, line.strip(), (), "", False) for k, line in enumerate(text.split("\n"), 1) if line.strip()]
         self.numbers, self.lines, self.paths, self.attributes, self.linked = map(list, zip(*leaves)) if leaves else ([] for _ in range(5))
         got = [reader.of(x) for x in self.lines]
-        keys, self.squeezed, self.words, self.ends, self.bullet, self.titled, self.alone = map(list, zip(*got)) if got else ([] for _ in range(7))
+        keys, self.squeezed, self.words, self.ends, self.bullet, self.titled, self.rows, self.alone = map(list, zip(*got)) if got else ([] for _ in range(8))
         self.share = [shares.get(k, 0.0) for k in keys]
         if self.marked:  # lines are counted with their markup
             raw = text.split("\n")
@@ -166,15 +166,17 @@ class Page:
         if not any(self.own):
             # without a title to go by, the last short line before the first sentence that does not repeat is the page's own
             first = next((i for i, x in enumerate(self.sentence) if x), 0)
-            near = [i for i in range(max(0, first - 3), first) if self.share[i] < KEPT and self.titled[i] > 0 and not self.bullet[i] and not _parts(self.lines[i])]
+            near = [i for i in range(max(0, first - 3), first) if self.share[i] < KEPT and self.titled[i] > 0 and not self.bullet[i] and not self.rows[i]]
             if near:
                 self.own[near[0]] = True
+        held = [x for x, o in zip(self.squeezed, self.own) if o][:1]
+        self.holds = [bool(held) and not o and held[0] in x for o, x in zip(self.own, self.squeezed)]
         self.levels = self._levels()
 
     def _running(self) -> list[bool]:
         """Lines of wrapped text: one that does not end goes on in the next, which begins small, and so on to the end of the sentence."""
         n = len(self.lines)
-        plain = [not b and s < KEPT and not o and not _parts(x) for b, s, o, x in zip(self.bullet, self.share, self.own, self.lines)]
+        plain = [not b and s < KEPT and not o and not r for b, s, o, r in zip(self.bullet, self.share, self.own, self.rows)]
         opens = [plain[i] and len(x) >= 40 and not self.ends[i] and x[-1] != "…" for i, x in enumerate(self.lines)]
         out = [False] * n
         for i in range(1, n):
@@ -227,40 +229,58 @@ class Page:
         low = _BULLET.sub(r"\2", x.lower())
         return len(x) <= 200 and (_NOISE.sub("", low) in titles or _NOISE.sub("", low.partition(":")[2]) in titles)
 
-    def features(self, own_share: bool) -> np.ndarray:
-        """One row per leaf; without ``own_share`` nothing that makes a leaf sure is among them but words and form."""
-        n = len(self.lines)
-        at = np.arange(n)
-        block, zone = self.levels[:, -1], self.levels[:, 1 if not self.marked else max(0, LEVELS // 2)]
-        share, ends, count, sentence = np.array(self.share), np.array(self.ends, float), np.array(self.words, float), np.array(self.sentence, float)
-        titled, bullet = np.array(self.titled), np.array(self.bullet, float)
-
-        def mean(v, of):
-            size = np.bincount(of)
-            return (np.bincount(of, v) / size)[of], size[of]
-
-        def others(v, of):  # without the leaf itself
-            size = np.bincount(of)[of]
-            return (np.bincount(of, v)[of] - v) / np.maximum(size - 1, 1)
-
-        before, after = np.maximum(at - 1, 0), np.minimum(at + 1, n - 1)
-        owned = [i for i in range(n) if self.own[i]]
-        own = owned[0] if owned else -1
-        holds = [own >= 0 and not o and self.squeezed[own] in x for o, x in zip(self.own, self.squeezed)]
-        above, below = np.cumsum(sentence) - sentence, np.cumsum(sentence[::-1])[::-1] - sentence
-        last = np.maximum.accumulate(np.where(sentence > 0, at, -20))
-        nxt = np.minimum.accumulate(np.where(sentence > 0, at, n + 20)[::-1])[::-1]
-        (words_b, size_b), (words_z, size_z) = mean(count, block), mean(count, zone)
-        get = self.reader.scores.get
-        tags = [[get("@" + t, 0.0) for t in _TOKEN.findall(a)] or [0.0] for a in self.attributes]
-        tag, linked = np.array([sum(t) / len(t) for t in tags]), np.array(self.linked, float)
-        around = np.stack([
-            np.array(self.own, float), np.array(holds, float), at / n, np.minimum(at, 20), np.minimum(n - 1 - at, 20), np.sign(at - own) if own >= 0 else np.zeros(n), np.minimum(above, 10), np.minimum(below, 10), np.minimum(at - last, 20),
-            np.minimum(nxt - at, 20), words_b, size_b, mean(ends, block)[0], others(share, block), words_z, size_z, mean(sentence, zone)[0], others(share, zone), count[before], count[after], titled[before], titled[after],
-            ends[before], ends[after], bullet[before], bullet[after], np.where(before != at, share[before], 0), np.where(after != at, share[after], 0), np.array([min(len(p), LEVELS) for p in self.paths], float),
-            tag, np.array([max(t) for t in tags]), np.array([min(t) for t in tags]), linked, *[mean(v, of)[0] for v in (tag, linked) for of in (block, zone)], *([share] if own_share else []),
-        ], 1)
-        return np.hstack([np.array(self.alone, float), around])
+
+def nested(pages: list[Page]) -> np.ndarray:
+    """The levels of pages of one kind one below the other, nodes numbered over all of them."""
+    parts, ends = [], 0
+    for p in pages:
+        parts.append(p.levels + ends)
+        ends = ends + p.levels.max(0) + 1
+    return np.concatenate(parts)
+
+
+def features(pages: list[Page], own_share: bool) -> np.ndarray:
+    """One row per leaf of non-empty pages of one kind; without ``own_share`` nothing that makes a leaf sure is among them but words and form."""
+    join = lambda name, kind=float: np.array([x for p in pages for x in getattr(p, name)], kind)
+    sizes = np.array([len(p.lines) for p in pages])
+    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    n, g = np.repeat(sizes, sizes), np.arange(int(sizes.sum()))
+    at = g - start
+    levels = nested(pages)
+    block, zone = levels[:, -1], levels[:, LEVELS // 2 if pages[0].marked else 1]
+    share, ends, count, sentence, titled, bullet, linked, is_own = (join(x) for x in ("share", "ends", "words", "sentence", "titled", "bullet", "linked", "own"))
+
+    def mean(v, of):
+        return (np.bincount(of, v) / np.bincount(of))[of]
+
+    def others(v, of):  # without the leaf itself
+        return (np.bincount(of, v)[of] - v) / np.maximum(np.bincount(of)[of] - 1, 1)
+
+    before, after = np.where(at > 0, g - 1, g), np.where(at < n - 1, g + 1, g)
+    first = np.cumsum(sizes) - sizes
+    own = np.minimum.reduceat(np.where(is_own > 0, at, 1 << 30), first)
+    own = np.repeat(own, sizes)
+    done = np.cumsum(sentence) - sentence
+    above = done - done[start]
+    below = np.repeat(np.add.reduceat(sentence, first), sizes) - above - sentence
+    last = np.maximum.accumulate(np.where(sentence > 0, g, -1))
+    nxt = np.minimum.accumulate(np.where(sentence > 0, g, 1 << 30)[::-1])[::-1]
+    get = pages[0].reader.scores.get
+    tags = [[get("@" + t, 0.0) for t in _TOKEN.findall(a)] or [0.0] for p in pages for a in p.attributes] if pages[0].marked else [[0.0]] * len(g)
+    tag = np.array([sum(t) / len(t) for t in tags])
+    around = np.stack([
+        is_own, join("holds"), at / n, np.minimum(at, 20), np.minimum(n - 1 - at, 20), np.where(own < 1 << 30, np.sign(at - own), 0), np.minimum(above, 10), np.minimum(below, 10), np.where(last >= start, np.minimum(g - last, 20), 20),
+        np.where(nxt < start + n, np.minimum(nxt - g, 20), 20), mean(count, block), np.bincount(block)[block], mean(ends, block), others(share, block), mean(count, zone), np.bincount(zone)[zone], mean(sentence, zone), others(share, zone),
+        count[before], count[after], titled[before], titled[after], ends[before], ends[after], bullet[before], bullet[after], np.where(before != g, share[before], 0), np.where(after != g, share[after], 0),
+        np.array([min(len(x), LEVELS) for p in pages for x in p.paths], float), tag, np.array([max(t) for t in tags]), np.array([min(t) for t in tags]), linked, *[mean(v, of) for v in (tag, linked) for of in (block, zone)],
+        *([share] if own_share else []),
+    ], 1)
+    return np.hstack([np.array([x for p in pages for x in p.alone], float), around])
+
+
+def by_kind(pages: list[Page]) -> list[list[int]]:
+    """The places of the non-empty pages, those without and those with markup."""
+    return [x for kind in (False, True) if (x := [i for i, p in enumerate(pages) if p.lines and p.marked == kind])]
 
 
 #: Log-odds that taking a whole inner node as furniture costs, and a single furniture leaf inside a main node.
@@ -330,34 +350,36 @@ class FurnitureModel:
             x, y = [], []
             for h in (0, 1):  # word scores of the other half of the pages that learn
                 scores = cls._scores([made[i] for i in halves[1 - h]], [labels[i] for i in halves[1 - h]])
-                reader = Lines(scores, first_words)
-                for i in halves[h]:
-                    if len(made[i].lines):
-                        keep = np.array(sure[i]) >= 0
-                        x.append(Page(*pages[i][:3], reader).features(False)[keep])
-                        y.append(np.array(sure[i], float)[keep])
+                cls._learn(x, y, halves[h], [np.array(v) for v in sure], pages, Lines(scores, first_words), False)
             if not x or len(set(np.concatenate(y))) < 2:
                 continue
             trees = BoostedTrees(60, 4, columns=0.25).fit(np.concatenate(x), np.concatenate(y))
             reader = Lines(cls._scores([made[i] for i in learn], [labels[i] for i in learn]), first_words)
-            for i in tell:
-                if len(made[i].lines):
-                    page = Page(*pages[i][:3], reader)
-                    z = trees.predict(page.features(False))
-                    z = np.where(np.array(sure[i]) < 0, z, np.where(np.array(sure[i]) > 0, 6.0, -6.0))
-                    labels[i] = np.where(np.array(sure[i]) < 0, decode(page.levels, z), sure[i])
+            told = [Page(*pages[i][:3], reader) for i in tell]
+            for group in by_kind(told):
+                own = [told[j] for j in group]
+                known = np.concatenate([np.array(sure[tell[j]]) for j in group])
+                z = np.where(known < 0, trees.predict(features(own, False)), np.where(known > 0, 6.0, -6.0))
+                found = np.where(known < 0, decode(nested(own), z), known)
+                for j, part in zip(group, np.split(found, np.cumsum([len(p.lines) for p in own])[:-1])):
+                    labels[tell[j]] = part
         return cls._final(pages, made, labels, fold, first_words)
 
+    @staticmethod
+    def _learn(x: list, y: list, which: list[int], labels: list[np.ndarray], pages, reader: Lines, own_share: bool) -> None:
+        """Adds features and labels of the labelled leaves of some pages."""
+        made = [Page(*pages[i][:3], reader) for i in which]
+        for group in by_kind(made):
+            label = np.concatenate([labels[which[j]] for j in group])
+            x.append(features([made[j] for j in group], own_share)[label >= 0])
+            y.append(label[label >= 0].astype(float))
+
     @classmethod
     def _final(cls, pages, made, labels, fold, first_words) -> FurnitureModel:
         x, y = [], []
         for k in (0, 1):  # word scores of the other half of the sources
             reader = Lines(cls._scores([made[i] for i in range(len(pages)) if fold[i] != k], [labels[i] for i in range(len(pages)) if fold[i] != k]), first_words)
-            for i in range(len(pages)):
-                if fold[i] == k and len(made[i].lines):
-                    keep = labels[i] >= 0
-                    x.append(Page(*pages[i][:3], reader).features(True)[keep])
-                    y.append(labels[i].astype(float)[keep])
+            cls._learn(x, y, [i for i in range(len(pages)) if fold[i] == k], labels, pages, reader, True)
         scores = cls._scores(made, labels)
         return cls(BoostedTrees().fit(np.concatenate(x), np.concatenate(y)), scores, first_words)
 
@@ -394,16 +416,19 @@ class FurnitureModel:
         made = [Page(text, title, shares, self.reader) for text, title, shares in pages]
         if self.trees is None:
             return [[n for n, f in zip(p.numbers, p.sure(set(), set(), set())) if f > 0] for p in made]
-        sizes = [len(p.lines) for p in made]
-        if not sum(sizes):
-            return [[] for _ in made]
-        z = self.trees.predict(np.concatenate([p.features(True) for p in made if p.lines]))
-        out, at = [], 0
-        for p, n in zip(made, sizes):
-            found = decode(p.levels, z[at : at + n]) if n else []
-            main = {k for k, f in zip(p.numbers, found) if not f}
-            out.append([k for k in dict.fromkeys(p.numbers) if k not in main])
-            at += n
+        out: list[list[int]] = [[] for _ in made]
+        for group in by_kind(made):
+            own = [made[i] for i in group]
+            found = decode(nested(own), self.trees.predict(features(own, True))).tolist()
+            at = 0
+            for i, p in zip(group, own):
+                here = found[at : at + len(p.lines)]
+                at += len(p.lines)
+                if p.marked:
+                    main = {k for k, f in zip(p.numbers, here) if not f}
+                    out[i] = [k for k in dict.fromkeys(p.numbers) if k not in main]
+                else:
+                    out[i] = [k for k, f in zip(p.numbers, here) if f]
         return out
 
 
