@@ -5,11 +5,13 @@ twice), each with a cost; of each source's records in order, the sequence of int
 A switch of format and a jump back in time cost a little, an interpretation against the source's declared order much more, so a declared
 order always decides and undeclared sources are settled by their neighbours.
 
-Scale: values are read in Arrow batches: the same tree of built-in expressions, used by several later ones, grows exponentially in the optimiser.
-Viterbi is a product of small (min, +) matrices and so associative: a source is cut into blocks of at
-most ``BLOCK`` record numbers, every block is reduced to the matrix between its first and last record, the matrices of a source
+Scale: values are read in Arrow batches: the same tree of built-in expressions, used by several later ones, grows exponentially in the optimiser. A task remembers the values it has met.
+Each value is read once and its interpretations are written. One that costs more than the best and two transitions together can't be on the cheapest sequence and is left out, which leaves most values with one; only
+sources that still have a value with several go through Viterbi, all other values are final and are never shuffled.
+Viterbi is a product of small (min, +) matrices and so associative: a source is cut by record number into blocks of about
+``BLOCK`` rows (as its numbers lie on average), every block is reduced to the matrix between its first and last record, the matrices of a source
 are chained (one row per block), and each block is then resolved with both its ends fixed. The result equals that of one pass over
-the whole source, and no task ever holds more than one block of rows, however many rows one source has.
+the whole source.
 
 Defined results: null, blank and unusable values (no such day, no such time, words) give no row; a value without zone of a source without
 known zone is taken as UTC; of two interpretations of equal cost the first is taken: day before month, earlier instant; extra columns of
@@ -27,10 +29,10 @@ from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dsforge.session import spread
+from dsforge.session import spread, written
 
-#: Record numbers in one block of a source.
-BLOCK = 1 << 20
+#: Rows in one block of a source, on average.
+BLOCK = 1 << 18
 #: Costs: against the declared order; second instant of a repeated hour; order unknown; switch of format; jump back by more than a day.
 AGAINST, SECOND, SWITCH, BACK = 100.0, 50.0, 1.0, 0.5
 DAY = 86_400_000_000
@@ -146,19 +148,37 @@ def _zone(name: str | None):
         return ZoneInfo("UTC")
 
 
-_READ = "_no {kind}, _field string, _source string, _block long, _text string, _fmt array<int>, _at array<long>, _cost array<double>, _day array<boolean>"
+_READ = "_no {kind}, _field string, _source string, _text string, _fmt array<int>, _at array<long>, _cost array<double>, _day array<boolean>"
+
+
+def possible(found: list[tuple[int, float, int, bool]]) -> list[tuple[int, float, int, bool]]:
+    """The interpretations that can be on a cheapest sequence: another choice changes two transitions at most."""
+    if len(found) < 2:
+        return found
+    most = min(x[1] for x in found) + 2 * (SWITCH + BACK)
+    return [x for x in found if x[1] <= most]
 
 
 def _parse(batches: Iterator) -> Iterator:
-    """Reads every value; the columns are number, field, source, block, text, order and zone."""
+    """Reads every value; the columns are number, field, source, text, order and zone."""
     import pyarrow as pa
 
+    known: dict[tuple, list] = {}
+
+    def read(*key) -> list:
+        got = known.get(key)
+        if got is None:
+            if len(known) > 200_000:
+                known.clear()
+            got = known[key] = possible(interpretations(*key))
+        return got
+
     for batch in batches:
-        found = [interpretations(*x) for x in zip(*(batch.column(i).to_pylist() for i in (4, 5, 6)))]
+        found = [read(*x) for x in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)))]
         keep = [i for i, f in enumerate(found) if f]
         lists = [pa.array([[x[k] for x in found[i]] for i in keep], pa.list_(t)) for k, t in ((0, pa.int32()), (2, pa.int64()), (1, pa.float64()), (3, pa.bool_()))]
         kept = batch.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*(kept.column(i) for i in range(5)), *lists], names=["_no", "_field", "_source", "_block", "_text", "_fmt", "_at", "_cost", "_day"])
+        yield pa.RecordBatch.from_arrays([*(kept.column(i) for i in range(4)), *lists], names=["_no", "_field", "_source", "_text", "_fmt", "_at", "_cost", "_day"])
 
 
 def utc_text(at: Column, day_only: Column) -> Column:
@@ -273,12 +293,19 @@ def normalise(df: DataFrame, sources: DataFrame, fields: tuple[str, ...] = ("dat
         F.col(f"`{source_col}`").cast("string").alias("_source"),
         F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"`{f}`").cast("string").alias("t")) for f in fields])).alias("_v"),
     ).where(F.col("_v.t").rlike(r"\d"))
-    read = (
-        spread(values.join(known, "_source", "left"))
-        .select("_no", F.col("_v.f").alias("_field"), F.coalesce("_source", F.lit("")).alias("_source"), F.coalesce(F.floor(F.col("_no") / block), F.lit(0).cast("long")).alias("_block"), F.col("_v.t").alias("_text"), "_order", "_zone")
-        .mapInArrow(_parse, _READ.format(kind=kind))
-    )
-    ends = read.groupBy(*_KEY).applyInPandas(_summary, _ENDS)
-    chosen = ends.groupBy("_source", "_field").applyInPandas(_chain, "_source string, _field string, _block long, _begin int, _end int")
-    picked = read.join(chosen, _KEY).groupBy(*_KEY).applyInPandas(_resolve, f"_no {kind}, _field string, _at long, _day boolean")
+    texts = spread(values).join(known, "_source", "left").select("_no", F.col("_v.f").alias("_field"), F.coalesce("_source", F.lit("")).alias("_source"), F.col("_v.t").alias("_text"), "_order", "_zone")
+    read = written(texts.mapInArrow(_parse, _READ.format(kind=kind)))
+    only = lambda df: df.select("_no", "_field", F.get("_at", F.lit(0)).alias("_at"), F.get("_day", F.lit(0)).alias("_day"))
+    unsure = read.where(F.size("_at") > 1).select("_source", "_field").distinct()
+    if unsure.isEmpty():
+        picked = only(read)
+    else:
+        # at most one row per source and field
+        unsure = written(read.join(unsure, ["_source", "_field"], "left_semi").groupBy("_source", "_field").agg(F.min("_no").alias("_from"), (F.max("_no") - F.min("_no") + 1).alias("_range"), F.count(F.lit(1)).alias("_rows")))
+        place = F.coalesce(F.floor((F.col("_no") - F.col("_from")) * F.col("_rows") / (F.col("_range") * F.lit(float(block)))), F.lit(0)).cast("long")
+        chains = read.join(unsure, ["_source", "_field"]).withColumn("_block", place).drop("_from", "_range", "_rows")
+        ends = chains.groupBy(*_KEY).applyInPandas(_summary, _ENDS)
+        chosen = ends.groupBy("_source", "_field").applyInPandas(_chain, "_source string, _field string, _block long, _begin int, _end int")
+        found = chains.join(chosen, _KEY).groupBy(*_KEY).applyInPandas(_resolve, f"_no {kind}, _field string, _at long, _day boolean")
+        picked = only(read.join(unsure, ["_source", "_field"], "left_anti")).unionAll(found)
     return picked.select(F.col("_no").alias(row_col), F.col("_field").alias("field_name"), utc_text(F.col("_at"), F.col("_day")).alias("utc_value"))
