@@ -2,12 +2,13 @@
 
 Method: winnowing. Words are compared in lower case and without punctuation. Of every ``WINDOW`` neighbouring hashes of ``K`` words the
 smallest is kept as fingerprint, on either side; equal windows keep equal fingerprints, so every exactly shared span of
-``K + WINDOW - 1`` words shares one. A stretch of 20 words or more with at most one fault in eight holds such a span of six words. Fingerprints of the corpus are joined
+``K + WINDOW - 1`` words shares one. A stretch of 20 words or more with at most one fault in eight holds such a span of six words: n words with f <= n / 8 faults fall into f + 1 runs of (n - f) / (f + 1) words on average. Fingerprints of the corpus are joined
 to those of the test items, and every hit is extended: exact runs around the hit are chained, gaps cost the larger of their two
 lengths, and a document counts if a chain covers ``MIN_WORDS`` consecutive words of the passage with at most one fault in ``ONE_IN``.
+Nothing else bounds the extension: a gap and the way a passage may drift from the hit's diagonal are at most the faults that the whole passage may have, and every earlier run within that gap is tried.
 
-Scale: the test side is a stated query set and is joined in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters, each
-of which is broadcast; the corpus is scanned once per block, is never shuffled and never leaves its partition. Nothing of the
+Scale: the test side is a stated query set and is joined in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters, one after the other; each
+is broadcast, and released when its pairs are written, so no more than one block is held at a time. The corpus is scanned once per block, is never shuffled and never leaves its partition. Nothing of the
 corpus but the found pairs is produced. Documents of any length are read whole, in batches of bounded text.
 
 Defined results: null, empty and blank documents and passages match nothing; passages of fewer than ``MIN_WORDS`` words match nothing;
@@ -25,13 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from dsforge.session import spread
+from dsforge.session import spread, written
 
 K, WINDOW, MIN_WORDS, ONE_IN = 5, 2, 20, 8
 #: Bounds of one broadcast block of test items.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 32 << 20
-#: Farthest that inserted or left out words may move a passage away from the hit's diagonal.
-DRIFT = 12
+#: A hit is looked at if so many of the words around it, within so many places, agree; a stretch of the least length may lack 2, one nearly twice as long and next to its faults 4 and more.
+NEED, REACH = 15, 4
 PAD = 64
 _WORD = re.compile(r"[^\W_]+")
 _HIDDEN = str.maketrans("", "", "­​‌‍﻿")
@@ -159,27 +160,27 @@ class Index:
             if any(abs(diagonal - d) <= 2 for d in done):
                 continue
             done.append(diagonal)
-            begin, end = max(0, diagonal - DRIFT), min(len(doc), diagonal + len(passage) + DRIFT)
+            drift = max(REACH, len(passage) // ONE_IN)  # as many faults as the passage may have
+            begin, end = max(0, diagonal - drift), min(len(doc), diagonal + len(passage) + drift)
             runs: dict[int, list[list[int]]] = {}  # by diagonal: [first in passage, after last]
             for i in range(begin, end):
                 for j in spots.get(doc[i], ()):
                     d = i - j
-                    if abs(d - diagonal) <= DRIFT:
+                    if abs(d - diagonal) <= drift:
                         own = runs.setdefault(d, [])
                         if own and own[-1][1] == j:
                             own[-1][1] = j + 1
                         else:
                             own.append([j, j + 1])
-            chain = self._chain(sorted((a, b, d) for d, own in runs.items() for a, b in own))
+            chain = self._chain(sorted((a, b, d) for d, own in runs.items() for a, b in own), drift)
             best = max(best, self._stretch(chain), key=lambda x: (x[0], -x[1]))
         return best
 
     def _promising(self, flat, at, items, places):
-        """Of each hit, whether some ``MIN_WORDS`` words around it agree often enough near the hit's diagonal; a match always has such a hit."""
+        """Of each hit, whether of ``MIN_WORDS`` and a few words around it ``NEED`` agree near the hit's diagonal."""
         import numpy as np
 
-        faults = MIN_WORDS // ONE_IN
-        span, need, reach = MIN_WORDS + faults, MIN_WORDS - faults, 3
+        span, need, reach = MIN_WORDS + MIN_WORDS // ONE_IN, NEED, REACH
         offsets = np.arange(-span, span + K)
         own = np.concatenate([np.zeros(PAD, np.uint64), flat, np.zeros(PAD, np.uint64)])
         out = np.zeros(len(at), bool)
@@ -194,20 +195,23 @@ class Index:
         return out
 
     @staticmethod
-    def _chain(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """The best chain of runs (first, after last, faults before it), by words matched less faults."""
+    def _chain(runs: list[tuple[int, int, int]], most: int) -> list[tuple[int, int, int]]:
+        """The best chain of runs (first, after last, faults before it), by words matched less faults; ``most`` faults in one gap at most."""
+        longest = max((b - a for a, b, _ in runs), default=0)
         score: list[int] = []
         back: list[tuple[int, int, int]] = []  # previous run, words cut at the start, faults
         for x, (a, b, d) in enumerate(runs):
             top, link = b - a, (-1, 0, 0)
-            for y in range(max(0, x - 60), x):
+            for y in range(x - 1, -1, -1):
                 c, e, f = runs[y]
+                if a - c > most + longest:
+                    break  # those before begin too early to reach
                 # the next run begins after the other's end in the passage and in the document
                 cut = max(0, e - a, e + f - (a + d))
                 if cut >= b - a:
                     continue
                 faults = max(a + cut - e, a + cut + d - (e + f))
-                if faults <= 6 and (s := score[y] + b - a - cut - faults) > top:
+                if faults <= most and (s := score[y] + b - a - cut - faults) > top:
                     top, link = s, (y, cut, faults)
             score.append(top)
             back.append(link)
@@ -264,8 +268,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_
     schema = f"_d {doc_kind}, _i {item_kind}, n_words int, n_faults int"
     as_arrow = to_arrow_schema(StructType.fromDDL(schema))
     texts = spread(docs.select(F.col(f"`{doc_col}`").alias("_d"), F.col(f"`{text_col}`").cast("string").alias("_t")).where("_t is not null"))
-    out = None
-    for block in _blocks(items, item_col, passage_col):
+    out, blocks = None, _blocks(items, item_col, passage_col)
+    block = next(blocks, None)
+    while block is not None:
         shared = spark.sparkContext.broadcast([p for _, p in block])
         numbers = spark.sparkContext.broadcast([i for i, _ in block])
 
@@ -286,6 +291,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), as_arrow)], schema=as_arrow)
 
         found = texts.mapInArrow(run, schema)
+        block = next(blocks, None)
+        if block is not None or out is not None:
+            found = written(found)
+            shared.destroy(), numbers.destroy()
         out = found if out is None else out.unionAll(found)
     if out is None:
         out = spark.createDataFrame([], schema)
