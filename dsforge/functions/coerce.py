@@ -49,25 +49,36 @@ def to_boolean(c: Column, kind: str = "string") -> Column:
     return F.when(s.isin(*TRUE), F.lit(True)).when(s.isin(*FALSE), F.lit(False))
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often the expression names it: else the tree below it is written out again each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def multiplier(c: Column) -> Column:
     """The factor of the first multiplier word, by precedence; 1 if there is none."""
-    out = F.lit(1.0)
-    for words, factor in reversed(MULTIPLIERS):
-        out = F.when(F.lower(c).rlike(rf"\b(?:{words})\b"), F.lit(factor)).otherwise(out)
-    return out
+
+    def factor_of(low: Column) -> Column:
+        out = F.lit(1.0)
+        for words, factor in reversed(MULTIPLIERS):
+            out = F.when(low.rlike(rf"\b(?:{words})\b"), F.lit(factor)).otherwise(out)
+        return out
+
+    return once(F.lower(c), factor_of)
 
 
 def _plain_number(c: Column) -> Column:
     """The first number of a text in the form that a cast reads; two or more groups after commas are thousands, a single comma is decimal."""
     spaced = F.regexp_replace(F.translate(c, "  ", "  "), "[€$£¥]", " ")
     token = F.regexp_extract(spaced, r"-?\d[\d\s,.]*", 0)
-    dense = F.regexp_replace(token, r"\s", "")
+    return once(F.regexp_replace(token, r"\s", ""), _castable)
+
+
+def _castable(dense: Column) -> Column:
     comma, dot = dense.contains(","), dense.contains(".")
     last_comma, last_dot = F.length(dense) - F.locate(",", F.reverse(dense)), F.length(dense) - F.locate(".", F.reverse(dense))
     only_comma = F.when(dense.rlike(r"^-?\d{1,3}(?:,\d{3}){2,}$"), F.replace(dense, F.lit(","))).otherwise(F.replace(dense, F.lit(","), F.lit(".")))
     both = F.when(last_comma > last_dot, F.replace(F.replace(dense, F.lit(".")), F.lit(","), F.lit("."))).otherwise(F.replace(dense, F.lit(",")))
-    text = F.when(comma & dot, both).when(comma, only_comma).otherwise(dense)
-    return F.when(text.rlike(r"^-?\d+\.?\d*$"), text)
+    return once(F.when(comma & dot, both).when(comma, only_comma).otherwise(dense), lambda text: F.when(text.rlike(r"^-?\d+\.?\d*$"), text))
 
 
 def to_float(c: Column, kind: str = "string") -> Column:
@@ -96,8 +107,10 @@ def _iso(y: Column, m: Column, d: Column) -> Column:
 
 def to_date_text(c: Column) -> Column:
     """ISO text of a date: year first, day first (month first only where the day is impossible), or with a month's name; null if it does not exist."""
-    s = strip_accents(strip(c.cast("string")))
-    low = F.lower(s)
+    return once(F.lower(strip_accents(strip(c.cast("string")))), _date_of)
+
+
+def _date_of(low: Column) -> Column:
     group = lambda p, i: F.nullif(F.regexp_extract(low, p, i), F.lit("")).try_cast("int")
     ymd = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)"
     dmy = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})\b"
@@ -123,14 +136,16 @@ def to_enum(c: Column, values: list[str], kind: str = "string") -> Column:
     """Exact, then equal without case and accents, then one containing the other at 0.6 of its length, then the nearest within a quarter of its length (two at least)."""
     if kind != "string" or not values:
         return F.lit(None).cast("string")
-    key = _enum_key(c)
+    return F.when(c.isin(*values), c).otherwise(once(_enum_key(c), lambda key: _nearest(key, values)))
+
+
+def _nearest(key: Column, values: list[str]) -> Column:
     keys = [_enum_key(F.lit(v)) for v in values]
-    exact = F.when(c.isin(*values), c)
     equal = F.coalesce(*[F.when(key == k, F.lit(v)) for k, v in zip(keys, values)])
     length = F.length(key)
     inside = F.coalesce(*[F.when((length > 0) & (key.contains(k) | k.contains(key)) & (F.least(length, F.length(k)) >= 0.6 * F.greatest(length, F.length(k))), F.lit(v)) for k, v in zip(keys, values)])
     ranked = F.array_min(F.filter(F.array(*[F.struct(F.levenshtein(key, k).alias("d"), F.lit(i).alias("i"), F.greatest(F.lit(2), F.floor(F.length(k) / 4)).alias("cap"), F.lit(v).alias("v")) for i, (k, v) in enumerate(zip(keys, values))]), lambda x: x["d"] <= x["cap"]))
-    return F.when(length > 0, F.coalesce(exact, equal, inside, ranked["v"]))
+    return F.when(length > 0, F.coalesce(equal, inside, ranked["v"]))
 
 
 def to_array(c: Column, kind: str = "string") -> Column:
