@@ -34,10 +34,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unmatched names by collection and spelling, with their number of rows."""
-    extracted = table(spark, sf_dir, "extracted")
     lists = table(spark, sf_dir, "variable_spec").where("name = 'name'")
-    unmatched = entity_map.map_names(extracted, lists).where("canonical = ''")
-    return unmatched.join(extracted.select("ex_no", "collection", "name"), "ex_no").groupBy("collection", "name").agg(F.count(F.lit(1)).alias("n_rows"))
+    unmatched = entity_map.map_names(table(spark, sf_dir, "extracted"), lists, keep=True).where("canonical = ''")
+    return unmatched.groupBy("collection", "name").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,19 +63,28 @@ class SentenceModel:
     """Weights by row of the table; a word's score is the mean over its rows, a sentence's the mean over its words."""
 
     def __init__(self, weights, bias):
-        self.weights, self.bias, self.known = weights, bias, {}
-
-    def score(self, word: str):
-        s = self.known.get(word)
-        if s is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            rows = features(word)
-            s = self.known[word] = self.weights[rows].sum(0) / np.sqrt(len(rows))
-        return s
+        self.weights, self.bias, self.known, self.table = weights, bias, {}, np.zeros((0, LEVELS), np.float32)
+
+    def scores(self, words: list[str]):
+        """One row per word; distinct words are worked out once and remembered as rows of a table."""
+        known = self.known
+        if len(known) > 500_000:
+            known.clear()
+            self.table = self.table[:0]
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if new:
+            rows = [features(w) for w in new]
+            sizes = np.array([len(r) for r in rows])
+            sums = np.add.reduceat(self.weights[np.concatenate(rows)], np.cumsum(sizes) - sizes, axis=0) / np.sqrt(sizes)[:, None]
+            first = len(known)
+            if first + len(new) > len(self.table):
+                self.table = np.concatenate([self.table[:first], np.zeros((max(4096, first, len(new)), LEVELS), np.float32)])
+            self.table[first : first + len(new)] = sums
+            known.update(zip(new, range(first, first + len(new))))
+        return self.table[[known[w] for w in words]]
 
     def predict(self, sents: list[list[str]]):
-        flat = np.array([self.score(w) for s in sents for w in s], np.float32)
+        flat = self.scores([w for s in sents for w in s])
         starts = np.cumsum([0, *[len(s) for s in sents]])
         total = np.add.reduceat(flat, starts[:-1], axis=0)
         return _softmax(total / np.sqrt(np.diff(starts))[:, None] + self.bias)

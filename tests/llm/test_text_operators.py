@@ -17,7 +17,33 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query_runs(spark, name):
     df = queries.queries()[name](spark, SMALL)
-    assert df.columns and df.count() >= 0
+    assert df.columns and df.count() > 0
+
+
+def test_bodies_are_what_is_not_furniture(spark):
+    drop: dict[int, set[int]] = {}
+    for r in queries.p1_found(spark, SMALL).collect():
+        drop.setdefault(r.row_no, set()).add(r.line_no)
+    texts = {r.row_no: r.text for r in queries._with_source(spark, SMALL, "text").collect()}
+    bodies = {r.row_no: r.body for r in queries.p1_bodies(spark, SMALL).collect()}
+    assert bodies == {n: "\n".join(x for k, x in enumerate(t.split("\n"), 1) if k not in drop.get(n, ())).strip("\n ") for n, t in texts.items() if t is not None}
+
+
+def test_repaired_texts_hold_the_words_found(spark):
+    repaired = {r.row_no: r.repaired.lower() for r in queries.p6_repaired(spark, SMALL).collect()}
+    found = queries.p6_found(spark, SMALL).collect()
+    assert {r.row_no for r in found} <= set(repaired)
+    missing = [r for r in found if r.kind != "drop" and r.word not in repaired[r.row_no]]
+    assert len(missing) <= len(found) / 500, missing[:5]  # a corrected word may be the second half of a broken one
+
+
+def test_unmatched_names_are_those_without_a_canonical_one(spark):
+    report = {(r.collection, r.name): r.n_rows for r in queries.p4_report(spark, SMALL).collect()}
+    names = {r.ex_no: (r.collection, r.name) for r in spark.read.parquet(f"{SMALL}/extracted.parquet").collect()}
+    want: dict = {}
+    for r in queries.p4_found(spark, SMALL).where("canonical = ''").collect():
+        want[names[r.ex_no]] = want.get(names[r.ex_no], 0) + 1
+    assert report == want
 
 
 # ---- tokenizer
@@ -243,6 +269,15 @@ def test_name_lists_in_blocks_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, entity_map.mapped(df, lists).collect())) == whole
 
 
+def test_a_list_longer_than_a_block_gives_the_same(spark, monkeypatch):
+    lists = spark.read.parquet(f"{SMALL}/variable_spec.parquet").where("name = 'name'")
+    df = spark.read.parquet(f"{SMALL}/extracted.parquet")
+    df = df.unionAll(df.where("ex_no < 20"))
+    whole = sorted(map(tuple, entity_map.map_names(df, lists).collect()))
+    monkeypatch.setattr(entity_map, "MAX_CHARS", 900)
+    assert sorted(map(tuple, entity_map.map_names(df, lists).collect())) == whole and any(c and not e for _, c, e in whole)
+
+
 # ---- reading level
 
 
