@@ -58,6 +58,8 @@ class Contract:
     judge: Callable[[dict], tuple[bool, str]]
     required_fields: list[str] = field(default_factory=list)
     locked: bool = False
+    #: Columns whose distinct values the verdict needs, given to it as ``distinct:<column>``.
+    distinct: list[str] = field(default_factory=list)
 
 
 def min_rows(n: int) -> Contract:
@@ -74,10 +76,17 @@ def required(fields: list[str]) -> Contract:
 
 def unique_field(name: str) -> Contract:
     def judge(v: dict) -> tuple[bool, str]:
-        n = v["given"] - v["distinct"]
+        n = v["given"] - v[f"distinct:{name}"]
         return n == 0, f"{n} repeated values of {name}"
 
-    return Contract(f"unique:{name}", lambda df: {"given": F.count(F.col(f"`{name}`")), "distinct": F.countDistinct(F.col(f"`{name}`"))}, judge)
+    return Contract(f"unique:{name}", lambda df: {"given": F.count(F.col(f"`{name}`"))}, judge, distinct=[name])
+
+
+def distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    """(variable, n_unique): values are grouped first, then counted, so a column's rows are combined before they meet."""
+    cells = F.array(*[F.struct(F.lit(n).alias("variable"), F.col(f"`{n}`").cast("string").alias("v")) for n in names])
+    long = df.select(F.explode(cells).alias("x")).select("x.*").where("v is not null")
+    return long.groupBy("variable", "v").agg(F.lit(1).alias("_")).groupBy("variable").agg(F.count(F.lit(1)).alias("n_unique"))
 
 
 def coverage(variables: list[str], least: float = 0.5) -> Contract:
@@ -126,13 +135,16 @@ class ContractBook:
         return {f for c in self.contracts.values() if c.locked for f in c.required_fields}
 
     def check(self, df: DataFrame) -> list[tuple[str, bool, str]]:
-        """(name, ok, detail) of every contract; all their aggregates run as one query."""
+        """(name, ok, detail) of every contract; all their aggregates run as one query, all their distinct counts as another."""
         wanted = {f"{i}|{k}": c for i, x in enumerate(self.contracts.values()) for k, c in x.aggregates(df).items()}
         got = df.agg(*[c.alias(f"a{j}") for j, c in enumerate(wanted.values())]).first() if wanted else ()
         values: dict[int, dict] = {}
         for key, v in zip(wanted, got):
             i, k = key.split("|", 1)
             values.setdefault(int(i), {})[k] = v
+        names = list(dict.fromkeys(n for x in self.contracts.values() for n in x.distinct))
+        distinct = {f"distinct:{n}": 0 for n in names} | ({f"distinct:{r.variable}": r.n_unique for r in distinct_counts(df, names).collect()} if names else {})
+        values = {i: values.get(i, {}) | distinct for i in range(len(self.contracts))}
         return [(x.name, *x.judge(values.get(i, {}))) for i, x in enumerate(self.contracts.values())]
 
     def status(self, df: DataFrame) -> DataFrame:

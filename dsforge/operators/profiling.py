@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dsforge.operators.contracts import covered
+from dsforge.operators.contracts import covered, distinct_counts
 from dsforge.plans.model import Codebook, VariableSpec
 
 NUMBERS = ("int", "bigint", "smallint", "tinyint", "double", "float")
@@ -29,13 +29,6 @@ def field_coverage(df: DataFrame, names: list[str]) -> DataFrame:
     return _unpivot(one, names, {"n_rows": "n", "n_covered": "c"})
 
 
-def distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:
-    """(variable, n_unique): values are grouped first, then counted, so a column's rows are combined before they meet."""
-    cells = F.array(*[F.struct(F.lit(n).alias("variable"), F.col(f"`{n}`").cast("string").alias("v")) for n in names])
-    long = df.select(F.explode(cells).alias("x")).select("x.*").where("v is not null")
-    return long.groupBy("variable", "v").agg(F.lit(1).alias("_")).groupBy("variable").agg(F.count(F.lit(1)).alias("n_unique"))
-
-
 def _with_distinct(long: DataFrame, counts: DataFrame, name: str, always: bool = False) -> DataFrame:
     """Both have a row per variable."""
     n = F.coalesce(F.col("n_unique"), F.lit(0)).cast("long")

@@ -35,6 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dsforge.session import written
+
 #: Faults: difference in the share of missing values; difference in the share of repeated values; tolerated error of a reported coverage.
 NULLS, REPEATS, COVERAGE = 0.17, 0.10, 0.001
 MIN_VALUES, BINS, TOP, TAIL = 30, 20, 40, 24
@@ -107,14 +109,16 @@ def _bounded(df: DataFrame, columns: list[str], bounds: DataFrame | None, group_
 def load_counts(df: DataFrame, columns: list[str], load_col: str, bounds: DataFrame | None = None, group_col: str | None = None) -> DataFrame:
     """(_load, _rows, and for column i the present values p<i> and those outside o<i>): one grouping by load, nothing but sums."""
     rows, outside = _bounded(df.where(F.col(f"`{load_col}`").isNotNull()), columns, bounds, group_col)
-    sums = [F.sum(_present(F.col(f"`{c}`").cast("string")).cast("int")).alias(f"p{i}") for i, c in enumerate(columns)]
+    texts = {f.name for f in df.schema if f.dataType.typeName() == "string"}
+    sums = [F.sum((_present(F.col(f"`{c}`")) if c in texts else F.col(f"`{c}`").isNotNull()).cast("int")).alias(f"p{i}") for i, c in enumerate(columns)]
     sums += [F.sum(outside[c].cast("int")).alias(f"o{i}") for i, c in enumerate(columns) if c in outside]
     return rows.groupBy(F.col(f"`{load_col}`").alias("_load")).agg(F.count(F.lit(1)).alias("_rows"), *sums)
 
 
 def form_counts(counts: DataFrame, pattern_columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Exact (_load, _column, _form, _n) of present values, and (_column, _form) of the usual forms: those that at least half of the column's loads have."""
-    of_form = counts.where(F.col("_column").isin(*pattern_columns) & _present(F.col("_value"))).groupBy("_load", "_column", form(F.col("_value")).alias("_form")).agg(F.sum("_n").alias("_n"))
+    # values are read once; a row for each form of a load and column
+    of_form = written(counts.where(F.col("_column").isin(*pattern_columns) & _present(F.col("_value"))).groupBy("_load", "_column", form(F.col("_value")).alias("_form")).agg(F.sum("_n").alias("_n")))
     loads = of_form.groupBy("_column").agg(F.countDistinct("_load").alias("_loads"))
     have = of_form.groupBy("_column", "_form").agg(F.count(F.lit(1)).alias("_have"))
     return of_form, have.join(F.broadcast(loads), "_column").where("_have * 2 >= _loads").select("_column", "_form")  # one row per column

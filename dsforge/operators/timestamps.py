@@ -29,6 +29,7 @@ from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dsforge.functions.coerce import MONTHS as NAMES
 from dsforge.session import spread, written
 
 #: Rows in one block of a source, on average.
@@ -37,13 +38,8 @@ BLOCK = 1 << 18
 AGAINST, SECOND, SWITCH, BACK = 100.0, 50.0, 1.0, 0.5
 DAY = 86_400_000_000
 
-# Month names and their usual short forms in English and French, without accents.
-MONTHS = {
-    "january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7, "august": 8, "september": 9, "october": 10, "november": 11, "december": 12,
-    "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "sept": 9, "oct": 10, "nov": 11, "dec": 12,
-    "janvier": 1, "fevrier": 2, "mars": 3, "avril": 4, "mai": 5, "juin": 6, "juillet": 7, "aout": 8, "septembre": 9, "octobre": 10, "novembre": 11, "decembre": 12,
-    "janv": 1, "fevr": 2, "fev": 2, "avr": 4, "juil": 7,
-}
+# Further short forms of month names, without accents.
+MONTHS = NAMES | {"sept": 9, "janv": 1, "fevr": 2, "fev": 2, "avr": 4, "juil": 7}
 # Zone abbreviations and their offsets in minutes.
 ZONES = {
     "z": 0, "utc": 0, "gmt": 0, "ut": 0, "wet": 0, "west": 60, "bst": 60, "cet": 60, "cest": 120, "eet": 120, "eest": 180, "msk": 180,

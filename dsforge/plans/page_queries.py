@@ -117,10 +117,22 @@ def field_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("page_id", "value").agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("n_shown"))
 
 
-@query(f"WITH {PAGES} SELECT page_id, left(sha1(url), 12) AS slug, '.html' AS ext FROM pages")
+_EXTENSIONS = {
+    "": "", "text/html; charset=x": ".html", "application/json": ".json", "application/pdf": ".pdf", "text/csv": ".csv", "application/xml": ".xml", "text/plain": ".txt",
+}
+_ENDS = ["", ".csv?x=1", ".JPG#a", "/"]
+_HEADS = ["<html>", "%PDF-1", "PK..", "<?xml ?>", '{"a": 1}', '[1]', "x", '{"a": 1}\n{"a": 2}']
+
+
+@query(f"""WITH d AS (SELECT row_no AS page_id, 'https://h.example/p' || row_no::VARCHAR || list_extract({_ENDS}, (row_no % 4 + 1)::INTEGER) AS url, nullif(list_extract({list(_EXTENSIONS)}, (row_no % 7 + 1)::INTEGER), '') AS kind, (row_no % 8 + 1)::INTEGER AS h FROM dataset),
+ e AS (SELECT *, CASE WHEN kind IS NOT NULL THEN list_extract({list(_EXTENSIONS.values())}, (page_id % 7 + 1)::INTEGER) WHEN page_id % 4 = 1 THEN '.csv' WHEN page_id % 4 = 2 THEN '.jpg' ELSE list_extract(['.html', '.pdf', '.zip', '.xml', '.json', '.json', '.bin', '.json'], h) END AS ext FROM d)
+ SELECT page_id, left(sha1(url), 12) AS slug, CASE WHEN ext = '.json' AND h = 8 THEN '.jsonl' ELSE ext END AS ext FROM e""")
 def page_slug_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pages(spark, sf_dir)
-    return p.select("page_id", X.page_slug(F.col("url")).alias("slug"), X.page_extension(F.col("url"), F.lit(None).cast("string"), F.col("html")).alias("ext"))
+    """File names by content type, suffix and first bytes, in all their combinations."""
+    d, n = table(spark, sf_dir, "dataset"), F.col("row_no")
+    pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (n % k + 1).cast("int"))
+    url = F.concat(F.lit("https://h.example/p"), n.cast("string"), pick(_ENDS, 4))
+    return d.select(n.alias("page_id"), X.page_slug(url).alias("slug"), X.page_extension(url, F.nullif(pick(list(_EXTENSIONS), 7), F.lit("")), pick(_HEADS, 8)).alias("ext"))
 
 
 @query(f"WITH {PAGES} SELECT page_id, substr(regexp_replace(regexp_replace(html, '(?is)<head\\b[^>]*>.*?</head>', '', 'g'), '(?is)<script\\b[^>]*>.*?</script>', '', 'g'), strpos(regexp_replace(html, '(?is)<head\\b[^>]*>.*?</head>', '', 'g'), '<article'), 40) AS preview FROM pages")
@@ -192,10 +204,15 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", tool_call(text).alias("c")).select("event_id", "c.tool", "c.error")
 
 
-@query("SELECT event_id, 2::INTEGER AS n_rows FROM events")
+@query("SELECT event_id, list_extract([2, 1, 3, 1, 0], (event_id % 5 + 1)::INTEGER)::INTEGER AS n_rows FROM events")
 def json_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows under a key with a stray number, a bare list in prose, another key in a fence, a single object, and an empty envelope."""
     e = spread(table(spark, sf_dir, "events"))
-    text = F.concat(F.lit('{"results": ['), F.col("props"), F.lit(", "), F.col("props"), F.lit(", 7]}"))
+    p = F.col("props")
+    forms = [
+        F.concat(F.lit('{"results": ['), p, F.lit(", "), p, F.lit(", 7]}")), F.concat(F.lit("["), p, F.lit("]")), F.concat(F.lit("So:\n```json\n{'items': ["), p, F.lit(","), p, F.lit(","), p, F.lit(",]}\n```")), p, F.lit('{"rows": []}'),
+    ]
+    text = F.element_at(F.array(*forms), (F.col("event_id") % 5 + 1).cast("int"))
     return e.select("event_id", F.size(json_rows(text)).alias("n_rows"))
 
 
