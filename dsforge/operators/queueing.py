@@ -96,6 +96,13 @@ def pagination_verdict(variants: DataFrame) -> Column:
     )
 
 
+def paging_variants(variants: DataFrame, key: str, names: tuple[str, ...] = ("base", "page0", "page1", "page2", "p1", "p2", "offset"), row_pattern: str | None = None) -> DataFrame:
+    """(key, variant, n_chars, n_rows, same_as_first): what each way of asking for a page gave; rows are counted if a pattern is given. Variants that were not fetched are left out."""
+    rows_of = (lambda c: F.regexp_count(c, F.lit("(?s)" + row_pattern))) if row_pattern else (lambda c: F.lit(None).cast("int"))
+    cells = [F.struct(F.lit(n).alias("variant"), F.length(n).alias("n_chars"), rows_of(F.col(n)).cast("int").alias("n_rows"), (F.sha1(F.col(n).cast("binary")) == F.sha1(F.col(names[0]).cast("binary"))).alias("same_as_first")) for n in names if n in variants.columns]
+    return variants.select(key, F.explode(F.array(*cells)).alias("x")).select(key, "x.*").where("n_chars is not null")
+
+
 def rows_from_queue(queue: DataFrame, processed: DataFrame, key: str, required: list[str], order: str, drop_empty: bool = True, limit: int | None = None) -> DataFrame:
     """Pending items as rows: variants renamed to the required names, rows without any required value left out, at most ``limit`` in order."""
     from dsforge.operators.contracts import meaningful

@@ -193,3 +193,12 @@ def snake_field(text: str) -> str:
             low = prefix + re.sub(f"^{lead}", "", low)
             break
     return re.sub(r"\W+", "_", low).strip("_")
+
+
+def goal_hints(text: str) -> tuple[str | None, int | None]:
+    """(URL, number of rows) that a goal in plain words names: its first URL, and its first number of two to four digits outside URLs."""
+    import re
+
+    url = re.search(r"https?://[^\s<>\"']+", text)
+    count = re.search(r"(?<![\w.,/-])(\d{2,4})(?![\w.,/-]*\d)", re.sub(r"https?://\S+", " ", text))
+    return (url[0].rstrip(".,;)") if url else None), (int(count[1]) if count else None)

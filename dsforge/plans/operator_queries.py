@@ -16,7 +16,7 @@ from dsforge.functions import text as X
 from dsforge.functions.tolerant_json import json_object
 from dsforge.operators import contracts, extraction, inspection, profiling, queueing, rows
 from dsforge.plans import pipeline, tools
-from dsforge.plans.control import PlanError, Plan, RunState, chunk_budget, current_phase, snake_field
+from dsforge.plans.control import Plan, PlanError, RunState, chunk_budget, current_phase, goal_hints, snake_field
 from dsforge.plans.model import JSON_TYPES, Codebook, VariableSpec
 from dsforge.plans.page_queries import PAGES, pages
 from dsforge.plans.registry import query
@@ -337,6 +337,13 @@ def paging_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("row_no", queueing.pagination_verdict(v).alias("verdict"))
 
 
+@query("""SELECT row_no, unnest(['base', 'page1', 'offset']) AS variant, unnest([length(t), length(t) + 7, length(t)])::INTEGER AS n_chars, unnest([1, 2, 1])::INTEGER AS n_rows, unnest([TRUE, FALSE, TRUE]) AS same_as_first FROM (SELECT row_no, '<p>' || coalesce(replace(title, '<p>', ''), '') AS t FROM dataset)""")
+def paging_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.concat(F.lit("<p>"), F.coalesce(F.replace("title", F.lit("<p>"), F.lit("")), F.lit("")))
+    d = table(spark, sf_dir, "dataset").select("row_no", base.alias("base"), F.concat(base, F.lit("<p>more")).alias("page1"), base.alias("offset"), F.lit(None).cast("string").alias("page2"))
+    return queueing.paging_variants(d, "row_no", row_pattern="<p>")
+
+
 @query(_sql_values([("no rows", True), ("filters", True), ("empty fields", True), ("good", False)], "sample, refused"))
 def sample_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "dataset").where("title is not null and detail_url is not null").select("row_no", "title", "detail_url")
@@ -711,6 +718,14 @@ def planned_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, [(s, snake_field(s)) for s, _ in _FIELDS], "said string, field string")
 
 
+_GOALS = [("Get 250 cases from https://h.example/list?page=100.", "https://h.example/list?page=100", 250), ("all of 2 pages at http://h.example/a", "http://h.example/a", None), ("about 3.14 and 12345 things", None, None), ("the first 40", None, 40)]
+
+
+@query(_sql_values(_GOALS, "goal, url, n_rows"))
+def goals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _values(spark, [(g, *goal_hints(g)) for g, _, _ in _GOALS], "goal string, url string, n_rows int")
+
+
 @query("SELECT r_regionkey, '{\"k\":' || r_regionkey || ',\"name\":\"' || r_name || '\"}' AS line FROM region")
 def context_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rows as lines for a question about the data."""

@@ -70,7 +70,13 @@ def test_extraction_pipeline(spark):
     bronze = spark.createDataFrame([(1, "items: 5, open: yes " + "x" * 200), (2, "items: none " + "x" * 200), (3, "short"), (4, None)], "id int, text string")
     rule = extraction.RuleExtractor({"n_items": r"items: (\w+)", "is_open": r"open: (\w+)"})
     silver = spark.createDataFrame([(2,)], "id int")
-    assert [tuple(r)[:1] + (r.n_items, r.is_open) for r in extraction.extract_missing(bronze, silver, book, rule, "id", "text").collect()] == [(1, 5, True)]
+    # rows without enough text are marked, not lost; a row marked before is tried again, one extracted before is not
+    silver = silver.selectExpr("id", "'ok' as _extract_status").unionAll(spark.createDataFrame([(3, "no_text")], "id int, _extract_status string"))
+    got = extraction.extract_missing(bronze, silver, book, rule, "id", "text").orderBy("id").collect()
+    assert [(r.id, r.n_items, r.is_open, r._extract_status) for r in got] == [(1, 5, True, "ok"), (3, None, None, "no_text"), (4, None, None, "no_text")]
+    # enough structured fields do without a text
+    wide = spark.createDataFrame([(5, None, "items: 7", "b", "c")], "id int, text string, x string, y string, z string")
+    assert [(r.n_items, r._extract_status) for r in extraction.extract_missing(wide, silver, book, rule, "id", "text").collect()] == [(7, "ok")]
 
     class Broken:
         def __call__(self, text):
