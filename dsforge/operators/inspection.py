@@ -42,9 +42,9 @@ def sample_block_class(counts: DataFrame) -> DataFrame:
 
 def sample_block(pages: DataFrame, key: str, html: str = "html", size: int = 30_000) -> DataFrame:
     """(key, token, block): from the first element of the class that most likely marks a row, up to ``size`` characters, ended at the last tag."""
-    best = sample_block_class(class_counts(pages, html))
-    # one row
-    rows = pages.select(key, F.col(html).alias("_h")).crossJoin(F.broadcast(best.select("token")))
+    best = sample_block_class(class_counts(pages, html)).first()
+    token = best.token if best else None
+    rows = pages.select(key, F.col(html).alias("_h"), F.lit(token).cast("string").alias("token"))
     at = F.regexp_instr("_h", F.concat(F.lit(r'<[a-zA-Z][a-zA-Z0-9]*\b[^>]*class="[^"]*\b\Q'), F.col("token"), F.lit(r'\E\b')))
     cut = F.substring(F.col("_h"), at, F.lit(size))
     whole = F.when(F.length("_h") - at < size, cut).otherwise(F.regexp_extract(cut, r"(?s)^.*>", 0))

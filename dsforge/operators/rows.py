@@ -133,9 +133,10 @@ def patch(existing: DataFrame, patches: DataFrame, key: str, order: str) -> Data
 def patch_counts(existing: DataFrame, patches: DataFrame, key: str) -> DataFrame:
     """One row: distinct patch ids that exist, those that don't, and the rows there are."""
     ids = patches.select(F.col(key).cast("string").alias("_key")).where("_key is not null").distinct()
-    held = existing.select(F.col(key).cast("string").alias("_key")).distinct().withColumn("_held", F.lit(1))
-    counts = ids.join(held, "_key", "left").agg(F.count("_held").alias("n_patched"), (F.count(F.lit(1)) - F.count("_held")).alias("n_not_found"))
-    return counts.crossJoin(existing.agg(F.count(F.lit(1)).alias("n_rows")))  # one row each
+    held = existing.select(F.col(key).cast("string").alias("_key")).where("_key is not null").distinct().withColumn("_held", F.lit(1))
+    asked = ids.join(held, "_key", "left").select(F.coalesce("_held", F.lit(0)).alias("a"), (1 - F.coalesce("_held", F.lit(0))).alias("b"), F.lit(0).alias("c"))
+    both = asked.unionAll(existing.select(F.lit(0), F.lit(0), F.lit(1)))
+    return both.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(n) for x, n in (("a", "n_patched"), ("b", "n_not_found"), ("c", "n_rows"))])
 
 
 def merge_silver(bronze: DataFrame, silver: DataFrame, key: str, order: str, silver_wins_null: bool = True) -> DataFrame:
@@ -197,13 +198,13 @@ def shape_overlap(a: list[str], b: list[str]) -> float:
 def shape_lock(existing: DataFrame, incoming: DataFrame, order: str, sample: int = 20, least: float = 0.5) -> DataFrame:
     """One row: the overlap of the keys that the first rows of both tables fill, and whether it is too small for the new rows to belong to the table."""
 
-    def keys(df: DataFrame) -> Column:
-        return [F.max(F.when(F.col(f"`{c}`").isNotNull(), F.lit(c))) for c in df.columns if c != order and not c.startswith("_")]
+    def keys(df: DataFrame) -> list[str]:
+        names = [c for c in df.columns if c != order and not c.startswith("_")]
+        filled = df.orderBy(order).limit(sample).agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(names)]).first()
+        return [c for c, n in zip(names, filled) if n]
 
-    one, two = (df.orderBy(order).limit(sample).agg(F.array_compact(F.array(*keys(df))).alias(n)) for df, n in ((existing, "a"), (incoming, "b")))
-    overlap = F.when(F.size(F.array_union("a", "b")) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")))
-    # one row each
-    return one.crossJoin(two).select(overlap.alias("overlap"), (overlap < least).alias("refused"))
+    overlap = shape_overlap(keys(existing), keys(incoming))
+    return existing.sparkSession.createDataFrame([(overlap, overlap < least)], "overlap double, refused boolean")
 
 
 def fill_booleans(df: DataFrame, required: list[str]) -> DataFrame:

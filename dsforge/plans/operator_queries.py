@@ -822,6 +822,61 @@ def pipeline_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query("SELECT r_name AS name, 'event' AS log, r_regionkey::BIGINT AS n FROM region UNION ALL SELECT r_name, 'failure', length(repeat(r_name, 1000))::BIGINT FROM region WHERE length(r_name) * 1000 < 2000 UNION ALL SELECT r_name, 'failure', 2000 FROM region WHERE length(r_name) * 1000 >= 2000")
+def run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and failures as a run writes them, read back as tables; a subscriber that fails doesn't matter, raw answers are cut in the log."""
+    import tempfile
+
+    from dsforge.plans.control import Tracer, log_failure
+
+    with tempfile.TemporaryDirectory() as root:  # a run's own log is a file of the driver
+        tracer = Tracer(f"{root}/trace.jsonl")
+        tracer.subscribers.append(lambda record: 1 / 0)
+        for r in table(spark, sf_dir, "region").collect():
+            tracer.event("turn", name=r.r_name, n=r.r_regionkey)
+            log_failure(f"{root}/failures.jsonl", r.r_name, r.r_name * 1000)
+        events = [(r.name, "event", r.n) for r in files.read_jsonl(spark, f"{root}/trace.jsonl", "name string, n long").collect()]
+        failures = [(r.where, "failure", len(r.raw)) for r in files.read_jsonl(spark, f"{root}/failures.jsonl", "`where` string, raw string").collect()]
+    return _values(spark, events + failures, "name string, log string, n long")
+
+
+@query("SELECT 'phase' AS line, 'FINISH' AS said UNION ALL SELECT 'rows', count(*)::VARCHAR || ' of 1' FROM dataset UNION ALL SELECT 'queue', '0' UNION ALL SELECT 'typed', '0' UNION ALL SELECT 'ok  min_rows', count(*)::VARCHAR || ' of 1 rows' FROM dataset")
+def state_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pipe = pipeline.Pipeline(bronze=table(spark, sf_dir, "dataset").select(F.col("row_no").alias("id"), F.col("row_no").alias("_ord")))
+    pipe.book.add(contracts.min_rows(1))
+    return _values(spark, [tuple(x.split(": ", 1)) for x in pipeline.describe(pipe, 1).splitlines()], "line string, said string")
+
+
+@query("SELECT 'o_orderkey' AS variable, count(o_orderkey)::VARCHAR AS n_covered, count(*)::VARCHAR AS n_rows FROM orders UNION ALL SELECT 'o_orderstatus', count(*) FILTER (WHERE o_orderstatus <> '')::VARCHAR, count(*)::VARCHAR FROM orders")
+def stats_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = profiling.field_coverage(table(spark, sf_dir, "orders"), ["o_orderkey", "o_orderstatus"]).select("variable", "n_covered", "n_rows")
+    return _values(spark, [tuple(x.split()) for x in pipeline.format_stats(stats).splitlines()[1:]], "variable string, n_covered string, n_rows string")
+
+
+@query("SELECT 'items/item_' || lpad(n_regionkey::VARCHAR, 4, '0') || '/attachment_' || lpad(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::VARCHAR, 2, '0') || '.txt' AS saved_as, n_name AS text FROM nation")
+def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files saved in their items' folders and read back."""
+    at = folder(spark)
+    n = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", F.lit(".txt").alias("ext"), F.col("n_name").cast("binary").alias("content"), F.col("n_name").alias("text"))
+    placed = fetch.attachment_paths(n, "n_regionkey", "n_nationkey", "ext")
+    fetch.save_attachments(placed, at)
+    back = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(at)
+    return back.select(F.regexp_extract(F.col("_metadata.file_path"), r"(items/.*)$", 1).alias("saved_as"), F.col("value").alias("text"))
+
+
+_SHOWN = [(0.125, "12%"), (0.375, "38%"), (0.005, "0%"), (0.015, "2%"), (1.0, "100%")]
+
+
+@query(_sql_values(_SHOWN, "share, shown"))
+def shares_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares as a data card shows them: half to even on the binary value."""
+    out = []
+    for x, _ in _SHOWN:
+        card = export.data_card(Codebook("c", [VariableSpec("v")]), [{"variable": "v", "n_non_null": x * 1000, "n_rows": 1000}], 1)
+        out.append((x, card.split("| v | string | ")[1].split(" |")[0]))
+    return _values(spark, out, "share double, shown string")
+
+
 # ---- streams: the events as a growing folder
 
 
