@@ -4,8 +4,8 @@ Method: gradient-boosted trees score every leaf of the page's tree by its own fo
 Decoding goes over the whole tree: a node taken as furniture has no main leaf below it, a node taken as main body has at least one, and the cheapest reading of all nodes wins, so
 ancestors and descendants never contradict each other. Text with markup gives the elements as tree; text without gives page, zones between blank lines, blocks of lines of one kind, and lines.
 
-No list of phrases is used: labels come from repetition and form. Sure furniture are lines on at least ``REPEATED`` of a source's pages, rows of parts that each stand on many pages, and titles of other pages; sure main body are
-the page's own title and whole sentences that do not repeat; all else is unlabelled. A first set of trees learns from the sure lines without the features that made them sure, in two halves of the sources; each
+No list of phrases is used: labels come from repetition and form. Sure furniture are lines on at least ``REPEATED`` of a source's pages, rows of parts that each stand on many pages, titles of other pages, and short lines of several sources that stand anywhere; sure main body are
+the page's own title, whole sentences that do not repeat, and short lines of several sources that text always follows, as it does headings; all else is unlabelled. A first set of trees learns from the sure lines without the features that made them sure, in two halves of the sources; each
 half labels the other's unlabelled lines, and the trees that score all pages learn from both. Word scores are cross-fitted by source in the same way, so what is furniture in one source is known by its words in another.
 The trees are fitted at query time on at most ``MAX_PAGES`` pages of at most ``MAX_TRAIN_CHARS`` characters (a bounded sample, drawn by hash); repetition is counted over all pages and all pages are scored whole.
 
@@ -36,6 +36,8 @@ MAX_PAGES, MAX_TRAIN_CHARS = 1200, 50_000
 REPEATED, KEPT, MIN_PAGES, MAX_BROADCAST = 0.42, 0.05, 6, 2_000_000
 #: A sentence: so many words and an end. Parts of a row count as repeated if they stand on this share of the sample's pages.
 SENTENCE, PART = 9, 0.02
+#: A short line that repeats over sources is no heading if text does not follow it this often; it is one if that is four times as rare.
+LOOSE = 0.1
 #: Levels of a page's tree that are looked at; deeper elements count to their ancestor there.
 LEVELS = 10
 
@@ -209,7 +211,7 @@ class Page:
             out[i] = 0, zone, block
         return out
 
-    def sure(self, titles: set[str], parts: set[str], genre: set[str]) -> list[int]:
+    def sure(self, titles: set[str], parts: set[str], genre: set[str], short: dict[str, int]) -> list[int]:
         """1 for sure furniture, 0 for sure main body, -1 for all else, by repetition and form."""
         out = []
         for i, x in enumerate(self.lines):
@@ -217,12 +219,30 @@ class Page:
                 out.append(0)
             elif (self.share[i] >= REPEATED and _mask(x) not in genre) or self._names_a_page(x, titles) or ((row := _parts(x)) and sum(p in parts for p in row) > len(row) / 2):
                 out.append(1)
+            elif (key := self._short(i)) in short:
+                out.append(short[key])
             else:
                 out.append(0 if self.sentence[i] or (self.bullet[i] == 1 and self.share[i] >= KEPT) or (self.bullet[i] and _mask(x) in genre) else -1)
         # what stands between two sure neighbours is of their kind
         between = [out[i - 1] if v < 0 and 0 < i < len(out) - 1 and out[i - 1] == out[i + 1] == 1 else v for i, v in enumerate(out)]
         return between
 
+    def _short(self, i: int) -> str | None:
+        """A line that could be a heading or a call by its form, masked; of one with a colon what stands before it."""
+        x = self.lines[i]
+        if self.bullet[i] or self.own[i] or self.sentence[i] or self.rows[i] or x.endswith((".", "!", "?", ";", ",", "…")):
+            return None
+        lead = x.partition(": ")[0]
+        if lead != x and self.words[i] <= 20:
+            return _mask(lead) + ":" if len(lead.split()) <= 5 else None
+        return _mask(x) if self.words[i] <= 8 else None
+
+    def short_lines(self) -> list[tuple[str, bool]]:
+        """The masked short lines that do not repeat on most pages, and whether text follows each of them."""
+        n = len(self.lines)
+        follows = lambda i: i + 1 < n and self.numbers[i + 1] == self.numbers[i] + 1 and self.words[i + 1] > 4 and not self.bullet[i + 1]
+        return [(key, follows(i)) for i in range(n) if self.share[i] < REPEATED and (key := self._short(i))]
+
     @staticmethod
     def _names_a_page(x: str, titles: set[str]) -> bool:
         """Whether the line, or what follows its first colon, is the title of a page."""
@@ -335,7 +355,8 @@ class FurnitureModel:
                 seen[x] = seen.get(x, 0) + 1
         parts = {x for x, n in seen.items() if n >= max(3, PART * len(pages))}
         genre = cls._genre(pages, made)
-        sure = [p.sure(titles, parts, genre) for p in made]
+        short = cls._short(pages, made)
+        sure = [p.sure(titles, parts, genre, short) for p in made]
         fold = [xxhash.xxh64_intdigest(s) & 1 for _, _, _, s in pages]
         if len(set(fold)) < 2:
             fold = [i & 1 for i in range(len(pages))]
@@ -396,6 +417,18 @@ class FurnitureModel:
                     often.setdefault(m, set()).add(source)
         return {m for m, s in where.items() if len(s) >= sources and 10 * len(often.get(m, ())) < len(s)}
 
+    @staticmethod
+    def _short(pages, made: list[Page], sources: int = 4, least: int = 8) -> dict[str, int]:
+        """Short lines of several sources: 0 for headings, which text always follows, 1 for calls, which stand anywhere."""
+        where: dict[str, set[str]] = {}
+        counts: dict[str, list[int]] = {}
+        for (_, _, _, source), p in zip(pages, made):
+            for m, follows in p.short_lines():
+                where.setdefault(m, set()).add(source)
+                counts.setdefault(m, [0, 0])[follows] += 1
+        told = {m: a / (a + b) for m, (a, b) in counts.items() if a + b >= least and len(where[m]) >= sources}
+        return {m: int(share > LOOSE) for m, share in told.items() if share > LOOSE or share <= LOOSE / 4}
+
     @staticmethod
     def _scores(pages: list[Page], labels: list[np.ndarray]) -> dict[str, float]:
         """How much each word speaks for furniture; what is not known to be furniture counts against it, but for attributes, which say where a leaf stands, only sure leaves count."""
@@ -415,7 +448,7 @@ class FurnitureModel:
         """The numbers of each page's furniture lines."""
         made = [Page(text, title, shares, self.reader) for text, title, shares in pages]
         if self.trees is None:
-            return [[n for n, f in zip(p.numbers, p.sure(set(), set(), set())) if f > 0] for p in made]
+            return [[n for n, f in zip(p.numbers, p.sure(set(), set(), set(), {})) if f > 0] for p in made]
         out: list[list[int]] = [[] for _ in made]
         for group in by_kind(made):
             own = [made[i] for i in group]
